@@ -31,11 +31,11 @@ AUDIT = """audit_json as (
   end as line
  from events),
 records as (
- select source, line_number, line as raw_payload, strptime(json_extract_string(line, '$.eventTime'), '%Y-%m-%dT%H:%M:%SZ') as ts,
-  json_extract_string(line, '$.userIdentity.arn') as actor, json_extract_string(line, '$.sourceIPAddress') as source_ip,
-  json_extract_string(line, '$.awsRegion') as region, json_extract_string(line, '$.eventName') as event_name,
-  json_extract_string(line, '$.eventSource') as event_source
- from audit_json where json_valid(line))"""
+ select source, line_number, line as raw_payload, strptime(json_extract_string(doc, '$.eventTime'), '%Y-%m-%dT%H:%M:%SZ') as ts,
+  json_extract_string(doc, '$.userIdentity.arn') as actor, json_extract_string(doc, '$.sourceIPAddress') as source_ip,
+  json_extract_string(doc, '$.awsRegion') as region, json_extract_string(doc, '$.eventName') as event_name,
+  json_extract_string(doc, '$.eventSource') as event_source
+ from (select *, case when json_valid(line) then line end as doc from audit_json) where doc is not null)"""
 
 EVENT_LOG = "parsed as (select event_type as source, event_id as line_number, ts from events)"
 USER_EVENT_LOG = "parsed as (select 'u' || user_id as source, event_id as line_number, ts from events)"

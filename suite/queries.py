@@ -11,7 +11,7 @@ from suite import inputs as data
 from suite.inputs import BY_TYPE, BY_USER, OFFICE, SAFE, SUITE
 from tidemark.functions import text, time as t
 from tidemark.operators import alerts, alibi, baseline, medians, narrative, scoring, sequence
-from tidemark.plans import report as reports
+from tidemark.plans.analyze import Findings, analyze
 from tidemark.settings import Settings
 from tidemark.sources import files, normalize
 from tidemark.workspace import Workspace
@@ -291,20 +291,16 @@ def severity_breakdown(spark, sf_dir):
     return scoring.severity_breakdown(_text_gaps(spark, sf_dir))
 
 
-def _user_counters(spark, sf_dir, secondary: DataFrame | None = None, scan_pii: bool = False):
-    """All counters of the logs by user, their gaps and their events."""
-    lines = normalize.normalize_text(data.user_log(spark, sf_dir), BY_USER)
-    events = normalize.events(lines)
-    steps = sequence.steps(events, BY_USER)
-    gaps = alibi.cross_check(sequence.gaps(steps, BY_USER), [secondary] if secondary is not None else [], BY_USER)
-    counters = scoring.combine(
-        scoring.line_counters(lines, scan_pii),
-        scoring.step_counters(steps, BY_USER),
-        scoring.severity_breakdown(gaps),
-        scoring.alibi_failures(gaps),
-        scoring.forgery_counters(baseline.entropy_collapse(events, BY_USER, Workspace(spark))),
+def _user_findings(spark, sf_dir, secondary: DataFrame | None = None, scan_pii: bool = False) -> Findings:
+    """The whole analysis of the logs by user."""
+    return analyze(
+        spark,
+        data.user_log(spark, sf_dir),
+        settings=BY_USER,
+        scan_pii=scan_pii,
+        alibi_logs=[secondary] if secondary is not None else None,
+        run_at=datetime(2024, 1, 1),
     )
-    return counters, gaps, events
 
 
 def _escalations(spark, sf_dir) -> DataFrame:
@@ -328,8 +324,7 @@ def trust_score(spark, sf_dir):
 
 @query
 def log_counters(spark, sf_dir):
-    counters, *_ = _user_counters(spark, sf_dir, scan_pii=True)
-    return counters.select(
+    return _user_findings(spark, sf_dir, scan_pii=True).counters.select(
         "source", "total_lines", "malformed_count", "total_gaps", "max_gap_violations", "causality_count", "forgery_count",
         "pii_leaks",
     )
@@ -337,14 +332,12 @@ def log_counters(spark, sf_dir):
 
 @query
 def suspicion_reason(spark, sf_dir):
-    counters, *_ = _user_counters(spark, sf_dir)
-    return scoring.score(counters).select("source", "trust", "status", "reason")
+    return _user_findings(spark, sf_dir).scores.select("source", "trust", "status", "reason")
 
 
 @query
 def trust_deductions(spark, sf_dir):
-    counters, *_ = _user_counters(spark, sf_dir)
-    return scoring.score(counters).select("source", F.array_join("deductions", "; ").alias("deductions"))
+    return _user_findings(spark, sf_dir).scores.select("source", F.array_join("deductions", "; ").alias("deductions"))
 
 
 @query
@@ -393,8 +386,7 @@ def incident_narrative(spark, sf_dir):
 
 @query
 def explain_narrative(spark, sf_dir):
-    counters, *_ = _user_counters(spark, sf_dir, _escalations(spark, sf_dir), scan_pii=True)
-    return narrative.explain(scoring.score(counters))
+    return _user_findings(spark, sf_dir, _escalations(spark, sf_dir), scan_pii=True).explanation
 
 
 # Reports
@@ -403,12 +395,7 @@ def explain_narrative(spark, sf_dir):
 @query
 def integrity_report(spark, sf_dir):
     """The nested report of each user's log, flattened to its scalars and list sizes."""
-    counters, gaps, events = _user_counters(spark, sf_dir, _escalations(spark, sf_dir), scan_pii=True)
-    space = Workspace(spark)
-    gaps, counters = space.keep(gaps, "gaps"), space.keep(counters, "counters")
-    header = reports.report_header(scoring.score(counters), BY_USER, datetime(2024, 1, 1))
-    details = reports.detailed_gaps(gaps, counters, BY_USER)
-    report = reports.integrity_report(header, details, alerts.alert_feed(events, BY_USER), BY_USER)
+    report = _user_findings(spark, sf_dir, _escalations(spark, sf_dir), scan_pii=True).report
     return report.select(
         "source",
         "part",
@@ -441,6 +428,4 @@ def integrity_report(spark, sf_dir):
 
 @query
 def gap_ledger(spark, sf_dir):
-    counters, gaps, _ = _user_counters(spark, sf_dir, _escalations(spark, sf_dir))
-    gaps = Workspace(spark).keep(gaps, "gaps")
-    return reports.gap_ledger(gaps, scoring.score(counters), BY_USER)
+    return _user_findings(spark, sf_dir, _escalations(spark, sf_dir)).ledger

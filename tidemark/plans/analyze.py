@@ -143,6 +143,7 @@ def analyze(
     alibi_logs: list[str | DataFrame] | None = None,
     custody: bool = True,
     workspace: Workspace | None = None,
+    run_at: datetime | None = None,
     **overrides,
 ) -> Findings:
     """Analyze text logs, audit records or an event table; each ``source`` is one log.
@@ -174,7 +175,9 @@ def analyze(
     secondary = [
         normalize.events(normalized(log, False)).select("ts") for log in _readable(spark, alibi_logs or [])
     ]
-    return Findings(lines, chosen, space, scan_pii=scan_pii, secondary=secondary, hashes=hashes)
+    return Findings(
+        lines, chosen, space, scan_pii=scan_pii, secondary=secondary, hashes=hashes, run_at=run_at or datetime.now()
+    )
 
 
 def _readable(spark: SparkSession, logs: list) -> list:

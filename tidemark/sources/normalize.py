@@ -27,12 +27,10 @@ Normalizer = Callable[[DataFrame, Settings], DataFrame]
 def normalize_text(raw: DataFrame, settings: Settings) -> DataFrame:
     """Free text: a stamp at the start of the stripped line, read by the first configured format that fits it."""
     stamp = stamps.first_stamp(F.col("_stamp"), settings.timestamp_formats, settings.default_year)
-    return _with_all_columns(
-        raw.withColumn("_payload", text.strip(F.col("line")))
-        .withColumn("_stamp", F.regexp_extract("_payload", STAMP_HEADER, 1))
-        .withColumn("ts", F.when(F.col("_stamp") != "", stamp)),
-        raw_payload=F.col("_payload"),
+    shaped = raw.withColumn("_payload", text.strip(F.col("line"))).withColumn(
+        "_stamp", F.regexp_extract("_payload", STAMP_HEADER, 1)
     )
+    return _with_all_columns(_evaluated(shaped, ts=F.when(F.col("_stamp") != "", stamp)))
 
 
 # Kept as variants, so that a value that is no text can be told from one that is.
@@ -63,16 +61,26 @@ def normalize_audit(raw: DataFrame, settings: Settings | None = None) -> DataFra
     is_text = F.expr("schema_of_variant(_record.eventTime)") == "STRING"
     stamp = F.when(is_text & (when != "") & fit, stamps.iso_stamp(when))
     return _with_all_columns(
-        shaped.withColumn("ts", stamp),
-        raw_payload=F.col("_payload"),
-        actor=actor,
-        source_ip=F.col("_record.sourceIPAddress"),
-        region=F.col("_record.awsRegion"),
-        event_name=F.col("_record.eventName"),
-        event_source=F.col("_record.eventSource"),
+        _evaluated(
+            shaped,
+            ts=stamp,
+            actor=actor,
+            source_ip=F.col("_record.sourceIPAddress"),
+            region=F.col("_record.awsRegion"),
+            event_name=F.col("_record.eventName"),
+            event_source=F.col("_record.eventSource"),
+        )
     )
 
 
+def _evaluated(df: DataFrame, **values: Column) -> DataFrame:
+    """Add columns through a generator, which the optimizer does not copy expressions out of.
+
+    As plain columns they would be worked out again in every filter that is pushed below them.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*[value.alias(name) for name, value in values.items()]))))
+
+
 def _first_actor() -> tuple[Column, Column]:
     """The first non-empty of arn, user name and principal, and whether it is text (or there is none)."""
     actor, fit = F.lit(None).cast("string"), F.lit(True)
@@ -125,21 +133,16 @@ def normalize_with(function: Callable[[str, int], object]) -> Normalizer:
     return normalizer
 
 
-def _with_all_columns(df: DataFrame, **values: Column) -> DataFrame:
+def _with_all_columns(df: DataFrame) -> DataFrame:
     kept = [c for c in df.columns if not c.startswith("_") and c not in EVENT_COLUMNS and c != "line"]
     optional = ("actor", "source_ip", "region", "event_name", "event_source")
     # A line that is no event keeps its text and nothing else.
-    named = {
-        name: F.when(F.col("ts").isNotNull(), values[name]) if name in values else F.lit(None).cast("string")
+    named = [
+        (F.when(F.col("ts").isNotNull(), F.col(name)) if name in df.columns else F.lit(None).cast("string")).alias(name)
         for name in optional
-    }
-    return df.select(
-        *kept,
-        *[F.col(c) for c in ("source", "line_number") if c in df.columns],
-        "ts",
-        values["raw_payload"].alias("raw_payload"),
-        *[named[name].alias(name) for name in optional],
-    )
+    ]
+    numbered = ["line_number"] if "line_number" in df.columns else []
+    return df.select(*kept, "source", *numbered, "ts", F.col("_payload").alias("raw_payload"), *named)
 
 
 def events(lines: DataFrame) -> DataFrame:
