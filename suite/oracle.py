@@ -330,7 +330,7 @@ counted as (
   (select count(*) from steps s where s.source = p.source and us > 172800000000) as maxgap from parsed p group by source),
 trusted as (select *, greatest(0, least(100, 100 - high * 15 - maxgap * 20)) as trust from counted)
 select source, trust, case when trust < 50 then 'COMPROMISED' when trust < 85 then 'SUSPICIOUS' else 'NORMAL' end as status,
- 0 as alibi_failures, round(high * 3 / total_lines, 6) as suspicion_density from trusted""",
+ cast(0 as bigint) as alibi_failures, round(high * 3 / total_lines, 6) as suspicion_density from trusted""",
     "log_counters": f"""
 with recursive {_counters(False)}
 select source, total_lines, malformed as malformed_count, gaps as total_gaps, maxgap as max_gap_violations,
@@ -383,8 +383,8 @@ with recursive {_counters(True)}, {_SCORED},
 listed as (
  select source, count(*) as n, string_agg({_human('us')}, ', ' order by end_line) as durations, sum(evidence) as events_caught
  from checked group by source)
-select s.source, 0 as part, s.source as source_file, strftime(file_start, '%Y-%m-%dT%H:%M:%S') as file_start,
- strftime(file_end, '%Y-%m-%dT%H:%M:%S') as file_end, total_lines as total_lines_processed, 100000 as threshold_seconds,
+select s.source, cast(0 as bigint) as part, s.source as source_file, strftime(file_start, '%Y-%m-%dT%H:%M:%S') as file_start,
+ strftime(file_end, '%Y-%m-%dT%H:%M:%S') as file_end, total_lines as total_lines_processed, cast(100000 as bigint) as threshold_seconds,
  cast(coalesce(date_diff('microsecond', file_start, file_end), 0) // 1000000 as bigint) as total_timespan_seconds, gaps as total_gaps_found, high,
  med as medium, low, malformed as malformed_lines_skipped, causality as causality_violations_detected, forgery as shannon_entropy_collapses,
  alibi as alibi_failures_detected, cast(pii as bigint) as pii_leakage_events, status as system_status,

@@ -16,6 +16,12 @@ TABLES = (
 ).split()
 
 
+SPARK_TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP",
+    "boolean": "BOOLEAN",
+}
+
+
 def cell(value):
     if isinstance(value, decimal.Decimal):
         value = float(value)
@@ -34,14 +40,14 @@ def rows_of(columns, rows):
 
 
 def check(spark, sf_dir, name):
-    """(rows, differing rows from Spark, differing rows from SQL, same types, Spark seconds, SQL seconds)."""
+    """(rows, differing rows from Spark, differing rows from SQL, columns of unequal type, Spark seconds, SQL seconds)."""
     begin = time.time()
     df = registered.queries()[name](spark, sf_dir)
     mine = rows_of(df.columns, [tuple(r) for r in df.collect()])
     middle = time.time()
     sql = registered.oracle_sql().get(name)
     if sql is None:
-        return len(mine), [], [], True, middle - begin, 0.0
+        return len(mine), [], [], [], middle - begin, 0.0
     con = duckdb.connect()
     for table in TABLES:
         con.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
@@ -51,7 +57,9 @@ def check(spark, sf_dir, name):
     end = time.time()
     assert sorted(columns) == sorted(df.columns), (sorted(columns), sorted(df.columns))
     only_mine, only_theirs = _difference(mine, theirs), _difference(theirs, mine)
-    return len(mine), only_mine, only_theirs, True, middle - begin, end - middle
+    sql_types = {d[0]: str(d[1]) for d in result.description}
+    unequal = [(c, kind, sql_types[c]) for c, kind in df.dtypes if SPARK_TYPES.get(kind, kind) != sql_types[c]]
+    return len(mine), only_mine, only_theirs, unequal, middle - begin, end - middle
 
 
 def _difference(left, right):
@@ -69,9 +77,11 @@ def main():
     bad = []
     for name in names:
         try:
-            count, mine, theirs, _, spark_s, sql_s = check(spark, sf_dir, name)
+            count, mine, theirs, unequal, spark_s, sql_s = check(spark, sf_dir, name)
             state = "ok  " if not mine and not theirs else "DIFF"
             print(f"{state} {name:30} rows={count:7} spark={spark_s:6.2f}s sql={sql_s:6.2f}s", flush=True)
+            if unequal:
+                print("   types", unequal, flush=True)
             if state == "DIFF":
                 bad.append(name)
                 print("   spark", len(mine), mine[:3])

@@ -10,10 +10,10 @@ from pyspark.sql import Column, functions as F
 
 # What each directive matches, alternatives in the order strptime tries them.
 DIRECTIVES = {
-    "Y": r"\d\d\d\d",
+    "Y": r"(?!0000)\d\d\d\d",
     "y": r"\d\d",
     "m": r"1[0-2]|0[1-9]|[1-9]",
-    "d": r"3[0-1]|[1-2]\d|0[1-9]|[1-9]| [1-9]",
+    "d": r"3[0-1]|[1-2]\d|0[1-9]|[1-9]",
     "H": r"2[0-3]|[0-1]\d|\d",
     "I": r"1[0-2]|0[1-9]|[1-9]",
     "M": r"[0-5]\d|\d",
@@ -58,7 +58,8 @@ def parse_stamp(text: Column, fmt: str, default_year: int) -> Column:
     One regex pass decides whether the text fits and a second rewrites it as an ISO stamp for a guarded cast.
     """
     layout = _layout(fmt)
-    fits = F.regexp_extract(text, layout.pattern, 0) == text
+    # Atomic, as strptime takes the first way to match and then looks whether anything is left over.
+    fits = text.rlike(f"(?i)^(?>{layout.pattern.removeprefix('(?i)^')})\\z")
 
     def piece(name: str) -> Column:
         return F.regexp_extract(text, layout.pattern, layout.groups[name])
@@ -82,7 +83,7 @@ def parse_stamp(text: Column, fmt: str, default_year: int) -> Column:
                 short = F.initcap(F.substring(piece(month_name), 1, 3))
                 head += [((F.instr(F.lit(MONTHS), short) + 2) / 3).cast("int").cast("string"), F.lit("-")]
             stamp = F.concat(*head, F.regexp_replace(text, layout.pattern, template))
-        value = F.replace(stamp, F.lit("- "), F.lit("-")).try_cast("timestamp_ntz")
+        value = stamp.try_cast("timestamp_ntz")
         if "I" in layout.groups and "H" not in layout.groups:
             late = F.upper(piece("p")) == "PM" if "p" in layout.groups else F.lit(False)
             twelve = F.expr("interval 12 hours")
@@ -91,7 +92,7 @@ def parse_stamp(text: Column, fmt: str, default_year: int) -> Column:
         return value
 
     if "Y" in layout.groups:
-        value = F.when(piece("Y") != "0000", build(None))
+        value = build(None)
     elif "y" in layout.groups:
         century = F.when(piece("y") >= "69", "19").otherwise("20")
         value = build(F.concat(century, piece("y")))
@@ -111,14 +112,14 @@ def first_stamp(text: Column, formats, default_year: int | None = None) -> Colum
 
 # ISO-8601 with an optional offset. The offset is checked for form and then ignored.
 ISO_OFFSET = r"(?:Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d(?:\.\d+)?)?)?)?"
-ISO_USUAL = r"^(?!0000)\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?" + ISO_OFFSET + "$"
+ISO_USUAL = r"^(?!0000)\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?Z?\z"
 ISO_DATE = r"^(?!0000)(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2}))"
-ISO_CLOCK = r"(?:.(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?|(\d{2})(?:(\d{2})(?:[.,](\d+))?)?)?" + ISO_OFFSET + ")?$"
+ISO_CLOCK = r"(?:.(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?|(\d{2})(?:(\d{2})(?:[.,](\d+))?)?)?" + ISO_OFFSET + r")?\z"
 
 
 def iso_stamp(text: Column) -> Column:
     """TIMESTAMP_NTZ of an ISO-8601 text with its zone dropped, not converted; null when it is not one."""
-    usual = F.regexp_replace(text, ISO_OFFSET + "$", "").try_cast("timestamp_ntz")
+    usual = text.try_cast("timestamp_ntz")
     pattern = ISO_DATE + ISO_CLOCK
 
     def group(*numbers: int) -> Column:

@@ -2,12 +2,14 @@
 
 A window over a whole log would put that log into one task. Here a log is cut into blocks of neighbouring lines (or
 of neighbouring times); each block is ordered by itself, and what a block needs to know about the blocks before it is
-worked out on a small table with one row per block. That row then joins its block as one extra leading row, so a single
-shuffle by (log, block) is enough and nothing has to be broadcast.
+worked out on a small table with one row per block and handed to the block by (log, block), the key the rows are
+already partitioned by. Nothing depends on a table being small enough to broadcast.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = "_blk"
@@ -28,12 +30,15 @@ def previous_values(
     width: int,
     initial: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``prev_<name>`` for ``order`` and each of ``values``: what the row before had, within ``keys``.
+    """``keys``, ``order`` and ``values`` with ``prev_<name>`` for the latter two: what the row before had, within ``keys``.
 
     ``initial`` holds one row per key with the same columns, standing before every row of ``df``.
     """
     taken = [order, *values]
-    rows = with_block(df, order, width)
+    # One shuffle that both the rows and the blocks' last values are read from. Keys and order are never null; saying so
+    # for both readers keeps their plans alike, which is what lets the second one reuse the first one's shuffle.
+    present = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in [*keys, order]])
+    rows = with_block(df.select(*keys, *taken).filter(present), order, width).repartition(*keys, BLOCK)
     tails = last_values(rows, [*keys, BLOCK], order, values)
     if initial is not None:
         tails = tails.unionByName(initial.select(*keys, F.lit(-1).cast("bigint").alias(BLOCK), *taken))
@@ -41,14 +46,18 @@ def previous_values(
     heads = (
         tails.withColumn("_next", F.lead(BLOCK).over(along))
         .filter(F.col("_next").isNotNull())
-        .select(*keys, F.col("_next").alias(BLOCK), *taken, F.lit(True).alias(CARRIED))
+        .select(*keys, F.col("_next").alias(BLOCK), *[F.col(name).alias(f"_head_{name}") for name in taken])
     )
-    together = rows.withColumn(CARRIED, F.lit(False)).unionByName(heads, allowMissingColumns=True)
     local = Window.partitionBy(*keys, BLOCK).orderBy(order)
-    return (
-        together.select("*", *[F.lag(name).over(local).alias(f"prev_{name}") for name in taken])
-        .filter(~F.col(CARRIED))
-        .drop(BLOCK, CARRIED)
+    lagged = rows.select("*", *[F.lag(name).over(local).alias(f"_lag_{name}") for name in taken])
+    first_of_block = F.col(f"_lag_{order}").isNull()
+    return lagged.join(heads, [*keys, BLOCK], "left").select(
+        *keys,
+        *taken,
+        *[
+            F.when(first_of_block, F.col(f"_head_{name}")).otherwise(F.col(f"_lag_{name}")).alias(f"prev_{name}")
+            for name in taken
+        ],
     )
 
 

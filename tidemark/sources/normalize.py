@@ -40,6 +40,14 @@ _RECORD = (
 )
 
 
+_TYPED = {
+    "time": "_record.eventTime",
+    "arn": "_record.userIdentity.arn",
+    "user": "_record.userIdentity.userName",
+    "principal": "_record.userIdentity.principalId",
+}
+
+
 def normalize_audit(raw: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Cloud audit records, one JSON object per line.
 
@@ -56,9 +64,16 @@ def normalize_audit(raw: DataFrame, settings: Settings | None = None) -> DataFra
         .withColumn("_records", record)
         .withColumn("_record", F.when(F.size("_records") == 1, F.get("_records", F.lit(0))))
     )
+    shaped = shaped.withColumns(
+        {
+            f"_{part}_{name}": F.expr(expression.format(field))
+            for name, field in _TYPED.items()
+            for part, expression in (("text", "try_variant_get({}, '$', 'string')"), ("type", "schema_of_variant({})"))
+        }
+    )
     actor, fit = _first_actor()
-    when = F.expr("try_variant_get(_record.eventTime, '$', 'string')")
-    is_text = F.expr("schema_of_variant(_record.eventTime)") == "STRING"
+    when = F.col("_text_time")
+    is_text = F.col("_type_time") == "STRING"
     stamp = F.when(is_text & (when != "") & fit, stamps.iso_stamp(when))
     return _with_all_columns(
         _evaluated(
@@ -84,14 +99,14 @@ def _evaluated(df: DataFrame, **values: Column) -> DataFrame:
 def _first_actor() -> tuple[Column, Column]:
     """The first non-empty of arn, user name and principal, and whether it is text (or there is none)."""
     actor, fit = F.lit(None).cast("string"), F.lit(True)
-    for name in ("principalId", "userName", "arn"):
-        field = f"_record.userIdentity.{name}"
-        value = F.expr(f"try_variant_get({field}, '$', 'string')")
-        kind = F.coalesce(F.expr(f"schema_of_variant({field})"), F.lit("VOID"))
-        # Nothing, false, zero and empty values of any type pass the turn on.
-        empty = (kind == "VOID") | F.coalesce(
-            value.isin("", "false", "0", "0.0", "-0.0", "[]", "{}"), F.lit(False)
-        ) & ~((kind == "STRING") & (value != ""))
+    for name in ("principal", "user", "arn"):
+        value, kind = F.col(f"_text_{name}"), F.coalesce(F.col(f"_type_{name}"), F.lit("VOID"))
+        # Nothing, empty text, false, zero and empty containers pass the turn on.
+        empty = (
+            F.when(kind == "STRING", value == "")
+            .when(kind == "VOID", True)
+            .otherwise(value.isin("false", "0", "[]", "{}"))
+        )
         actor = F.when(empty, actor).otherwise(value)
         fit = F.when(empty, fit).otherwise(kind == "STRING")
     return actor, fit
