@@ -29,30 +29,29 @@ def raw_splits(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def with_line_numbers(stored: DataFrame, workspace: Workspace) -> DataFrame:
-    """Turn (split_start, counter) into ``line_number``, counted from 1 over each whole file.
+def with_line_numbers(
+    stored: DataFrame, workspace: Workspace, split_order: tuple[str, ...] = ("split_start",)
+) -> DataFrame:
+    """Turn the place of each line in its split into ``line_number``, counted from 1 over each whole source.
 
     A split is read from front to back by one task, so the counter's distance from the split's first line is the place
     within it, and the lines of the splits before are a sum over a table with one row per split. ``stored`` must be a
     written table: the counter is not the same from one read of a text file to the next.
     """
-    per_split = stored.groupBy("source", "split_start").agg(
-        F.min("counter").alias("first_counter"), F.count(F.lit(1)).alias("n_lines")
-    )
-    before = Window.partitionBy("source").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
+    split = ["source", *split_order]
+    per_split = stored.groupBy(*split).agg(F.min("counter").alias("first_counter"), F.count(F.lit(1)).alias("n_lines"))
+    before = Window.partitionBy("source").orderBy(*split_order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = workspace.keep(
-        per_split.select(
-            "source", "split_start", "first_counter", F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("offset")
-        ),
+        per_split.select(*split, "first_counter", F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("offset")),
         "line_offsets",
     )
     if offsets.count() <= BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
     number = F.col("counter") - F.col("first_counter") + F.col("offset") + 1
     return (
-        stored.join(offsets, ["source", "split_start"])
+        stored.join(offsets, split)
         .withColumn("line_number", number)
-        .drop("split_start", "counter", "first_counter", "offset")
+        .drop(*split_order, "counter", "first_counter", "offset")
     )
 
 
