@@ -81,6 +81,8 @@ class Findings:
             scoring.severity_breakdown(self.gaps),
             scoring.alibi_failures(self.gaps),
             scoring.forgery_counters(self.forgeries),
+            # Names logs without a single line, too.
+            *([self.hashes.select("source")] if self.hashes is not None else []),
         )
         return self.workspace.keep(counted, "counters")
 

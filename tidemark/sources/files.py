@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.settings import Settings
@@ -167,7 +169,12 @@ def custody_hashes(spark: SparkSession, paths: str | list[str], whole_file_bytes
         .select(source)
         .mapInPandas(hash_in_chunks, "source STRING, sha256 STRING")
     )
-    return small.unionByName(large)
+    hashed = small.unionByName(large)
+    # A scan passes over files without content; the listing still names them.
+    names = [re.sub("^file:///", "file:/", name) for name in spark.read.text(path_list(paths)).inputFiles()]
+    listed = spark.createDataFrame([(name,) for name in names], "source STRING")
+    empty = listed.join(files.select(source), "source", "left_anti").withColumn("sha256", F.sha2(F.lit(b""), 256))
+    return hashed.unionByName(empty)
 
 
 def existing_paths(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
