@@ -194,7 +194,7 @@ def measured_rows(seed, sources=3):
     return rows
 
 
-@pytest.mark.parametrize("seed, width", [(1, 10), (2, 97), (3, 300), (4, 40)])
+@pytest.mark.parametrize("seed, width", [(1, 10), (2, 97), (3, 300), (4, 40), (5, 1000)])
 def test_baseline_in_blocks_equals_the_fold(spark, monkeypatch, seed, width):
     rows = measured_rows(seed)
     frame = spark.createDataFrame(rows, "source STRING, line_number BIGINT, entropy DOUBLE, chars INT").withColumns(

@@ -118,6 +118,8 @@ def collapse_and_state(
         return _stamped(rows.drop(BLOCK).groupBy("source").applyInPandas(whole_log, FORGERIES)), None
 
     rows = workspace.keep(rows, "entropy")
+    if _longest_run(rows) <= settings.block_lines:
+        return _short_runs(rows, initial, workspace)
     estimates = workspace.keep(_first_estimates(rows, initial), "estimates")
     summaries = _summaries(rows, estimates)
     while True:
@@ -147,6 +149,38 @@ def _any_log_beyond_one_block(events: DataFrame, settings: Settings) -> bool:
     return last is not None and last >= settings.block_lines
 
 
+def _longest_run(rows: DataFrame) -> int:
+    return rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+
+
+def _short_runs(rows: DataFrame, initial: DataFrame | None, workspace: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Logs that add no more events than a block holds: one fold each, from the baseline they are known to have."""
+    judge = _forgeries_of_block()
+    columns = ["source", "line_number", "ts", "entropy", "baseline", "raw_text"]
+
+    def run(frame, known):
+        import pandas as pd
+
+        if frame.empty:
+            return pd.DataFrame(columns=[*columns, "n", "r"])
+        n, r = (0, 0.0) if known.empty else (int(known["n"].iloc[0]), float(known["r"].iloc[0]))
+        found, n, r = judge(frame, n, r)
+        rows_out = [(*row, None, None) for row in found[columns].itertuples(index=False)]
+        rows_out.append((frame["source"].iloc[0], None, None, None, None, None, n, r))
+        return pd.DataFrame(rows_out, columns=[*columns, "n", "r"], dtype=object)
+
+    start = initial if initial is not None else rows.sparkSession.createDataFrame([], "source STRING, n BIGINT, r DOUBLE")
+    folded = workspace.keep(
+        rows.drop(BLOCK)
+        .groupBy("source")
+        .cogroup(start.select("source", "n", "r").groupBy("source"))
+        .applyInPandas(run, f"{FORGERIES}, n BIGINT, r DOUBLE"),
+        "folded",
+    )
+    found = _stamped(folded.filter(F.col("n").isNull()).drop("n", "r"))
+    return found, folded.filter(F.col("n").isNotNull()).select("source", "n", "r")
+
+
 def _first_estimates(rows: DataFrame, initial: DataFrame | None) -> DataFrame:
     """Per block the exact number of events before it, and a guess at the baseline: the mean of the unsuspicious ones."""
     plain = (F.col("entropy") >= FLOOR) | (F.col("chars") <= MIN_CHARS)
