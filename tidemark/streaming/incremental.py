@@ -9,9 +9,11 @@ after a failure replaces what it wrote before and changes nothing else.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -116,24 +118,35 @@ class LogStream:
             "alerts": alerts.alert_feed(events, settings, actors).select(*ALERT_COLUMNS),
             "rejects": normalize.rejects(lines),
         }
-        stored = {}
-        for kind, rows in found.items():
-            path = f"{self.folder}/{kind}/batch_id={batch_id}"
-            rows.write.mode("overwrite").parquet(path)
-            stored[kind] = self.spark.read.schema(rows.schema).parquet(path)
+        stored = dict(zip(found, self._together(
+            [lambda kind=kind, rows=rows: self._store(kind, rows, batch_id) for kind, rows in found.items()]
+        )))
         counted = scoring.combine(
             scoring.line_counters(lines, self.scan_pii),
             scoring.step_counters(steps, settings),
             scoring.severity_breakdown(stored["gaps"]),
             scoring.forgery_counters(stored["forgeries"]),
         ).drop("alibi_failures")
-        counted.write.mode("overwrite").parquet(f"{self.folder}/counters/batch_id={batch_id}")
-        self._write_state(lines, events, located, logs, baselines, batch_id)
+        self._together([
+            lambda: self._store("counters", counted, batch_id),
+            lambda: self.logs.write(batch_id, self._log_changes(lines, events, logs, baselines)),
+            lambda: self.actors.write(batch_id, self._actor_changes(located)),
+        ])
         _write_text(self.spark, f"{self.folder}/committed", str(batch_id))
         if self.on_findings is not None:
             self.on_findings(stored, batch_id)
         space.release()
 
+    def _store(self, kind: str, rows: DataFrame, batch_id: int) -> DataFrame:
+        path = f"{self.folder}/{kind}/batch_id={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _together(self, tasks: list[Callable[[], object]]) -> list:
+        """Run independent writes side by side; small jobs leave most of a cluster idle one after another."""
+        with ThreadPoolExecutor(len(tasks)) as pool:
+            return [f.result() for f in [pool.submit(inheritable_thread_target(self.spark)(task)) for task in tasks]]
+
     def _numbered_lines(self, batch: DataFrame, batch_id: int, space: Workspace) -> DataFrame:
         """The batch's lines, normalized and numbered on from the lines of earlier batches."""
         if "seq" in batch.columns:
@@ -154,17 +167,18 @@ class LogStream:
         """A table with one row per log is sent to every executor when it is known to be small."""
         return F.broadcast(per_log) if per_log.limit(limit + 1).count() <= limit else per_log
 
-    def _write_state(self, lines, events, located, logs, baselines, batch_id: int) -> None:
+    def _log_changes(self, lines: DataFrame, events: DataFrame, logs: DataFrame, baselines: DataFrame) -> DataFrame:
         line_state = lines.groupBy("source").agg(F.max("line_number").alias("lines"))
         last_events = blocks.last_values(events.select("source", "line_number", "ts"), ["source"], "line_number", ["ts"])
         new = line_state.join(last_events, "source", "left").join(baselines, "source", "left")
         old = logs.select("source", *[F.col(c).alias(f"_old_{c}") for c in ("line_number", "ts", "n", "r")])
-        kept = new.join(old, "source", "left").select(
+        return new.join(old, "source", "left").select(
             "source", "lines", *[F.coalesce(c, f"_old_{c}").alias(c) for c in ("line_number", "ts", "n", "r")]
         )
-        self.logs.write(batch_id, kept)
+
+    def _actor_changes(self, located: DataFrame) -> DataFrame:
         seen = blocks.last_values(located, ["source", "actor"], "line_number", ["ts", "source_ip"])
-        self.actors.write(batch_id, seen.select("source", "actor", "line_number", "ts", "source_ip"))
+        return seen.select("source", "actor", "line_number", "ts", "source_ip")
 
 
 def analyze_stream(
