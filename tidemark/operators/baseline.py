@@ -81,11 +81,18 @@ def _fold():
 def _forgeries_of_block():
     fold = _fold()
 
-    def forgeries(frame, n, r):
-        frame = frame.sort_values("line_number")
-        flags, levels, *_, r_out = fold(frame["entropy"].tolist(), frame["chars"].tolist(), n, r)
-        found = frame.assign(baseline=levels)[flags]
-        return found[["source", "line_number", "ts", "entropy", "baseline", "raw_text"]], n + len(flags), r_out
+    def forgeries(table, n, r):
+        """The forged rows with their baseline, and the (n, r) that the rows end with."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.take(pc.sort_indices(table["line_number"]))
+        flags, levels, *_, r_out = fold(table["entropy"].to_pylist(), table["chars"].to_pylist(), n, r)
+        forged = [i for i, flag in enumerate(flags) if flag]
+        found = table.select(["source", "line_number", "ts", "entropy"]).take(pa.array(forged, pa.int64()))
+        found = found.append_column("baseline", pa.array([levels[i] for i in forged], pa.float64()))
+        found = found.append_column("raw_text", table["raw_text"].take(pa.array(forged, pa.int64())))
+        return found, n + len(flags), r_out
 
     return forgeries
 
@@ -112,10 +119,10 @@ def collapse_and_state(
     if initial is None and not want_state and not _any_log_beyond_one_block(events, settings):
         alone = _forgeries_of_block()
 
-        def whole_log(frame):
-            return alone(frame, 0, 0.0)[0]
+        def whole_log(table):
+            return alone(table, 0, 0.0)[0]
 
-        return _stamped(rows.drop(BLOCK).groupBy("source").applyInPandas(whole_log, FORGERIES)), None
+        return _stamped(rows.drop(BLOCK).groupBy("source").applyInArrow(whole_log, FORGERIES)), None
 
     rows = workspace.keep(rows, "entropy")
     if _longest_run(rows) <= settings.block_lines:
@@ -156,25 +163,25 @@ def _longest_run(rows: DataFrame) -> int:
 def _short_runs(rows: DataFrame, initial: DataFrame | None, workspace: Workspace) -> tuple[DataFrame, DataFrame]:
     """Logs that add no more events than a block holds: one fold each, from the baseline they are known to have."""
     judge = _forgeries_of_block()
-    columns = ["source", "line_number", "ts", "entropy", "baseline", "raw_text"]
 
-    def run(frame, known):
-        import pandas as pd
+    def run(table, known):
+        import pyarrow as pa
 
-        if frame.empty:
-            return pd.DataFrame(columns=[*columns, "n", "r"])
-        n, r = (0, 0.0) if known.empty else (int(known["n"].iloc[0]), float(known["r"].iloc[0]))
-        found, n, r = judge(frame, n, r)
-        rows_out = [(*row, None, None) for row in found[columns].itertuples(index=False)]
-        rows_out.append((frame["source"].iloc[0], None, None, None, None, None, n, r))
-        return pd.DataFrame(rows_out, columns=[*columns, "n", "r"], dtype=object)
+        n, r = (known["n"][0].as_py(), known["r"][0].as_py()) if known.num_rows else (0, 0.0)
+        found, n, r = judge(table, n, r)
+        nothing = pa.nulls(found.num_rows)
+        found = found.append_column("n", nothing.cast(pa.int64())).append_column("r", nothing.cast(pa.float64()))
+        if table.num_rows == 0:
+            return found
+        end = {name: [None] for name in found.column_names} | {"source": [table["source"][0].as_py()], "n": [n], "r": [r]}
+        return pa.concat_tables([found, pa.table(end, schema=found.schema)])
 
     start = initial if initial is not None else rows.sparkSession.createDataFrame([], "source STRING, n BIGINT, r DOUBLE")
     folded = workspace.keep(
         rows.drop(BLOCK)
         .groupBy("source")
         .cogroup(start.select("source", "n", "r").groupBy("source"))
-        .applyInPandas(run, f"{FORGERIES}, n BIGINT, r DOUBLE"),
+        .applyInArrow(run, f"{FORGERIES}, n BIGINT, r DOUBLE"),
         "folded",
     )
     found = _stamped(folded.filter(F.col("n").isNull()).drop("n", "r"))
@@ -208,24 +215,25 @@ def _first_estimates(rows: DataFrame, initial: DataFrame | None) -> DataFrame:
 def _summaries(rows: DataFrame, starts: DataFrame) -> DataFrame:
     fold = _fold()
 
-    def summary(frame, start):
-        import pandas as pd
+    def summary(table, start):
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        if frame.empty or start.empty:
-            return pd.DataFrame(columns=["source", "_blk", "n_in", "n_rows", "r_in", "slope", "shift", "low", "high"])
-        frame = frame.sort_values("line_number")
-        n, r = int(start["n_in"].iloc[0]), float(start["r_in"].iloc[0])
-        flags, _, slope, shift, low, high, _ = fold(frame["entropy"].tolist(), frame["chars"].tolist(), n, r)
-        return pd.DataFrame(
-            [(frame["source"].iloc[0], int(frame["_blk"].iloc[0]), n, len(flags), r, slope, shift, low, high)],
-            columns=["source", "_blk", "n_in", "n_rows", "r_in", "slope", "shift", "low", "high"],
-        )
+        names = ["source", "_blk", "n_in", "n_rows", "r_in", "slope", "shift", "low", "high"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()] + [pa.float64()] * 5
+        out = []
+        if table.num_rows and start.num_rows:
+            table = table.take(pc.sort_indices(table["line_number"]))
+            n, r = start["n_in"][0].as_py(), start["r_in"][0].as_py()
+            flags, _, *line, _ = fold(table["entropy"].to_pylist(), table["chars"].to_pylist(), n, r)
+            out = [(table["source"][0].as_py(), table["_blk"][0].as_py(), n, len(flags), r, *line)]
+        return pa.table([pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)], names=names)
 
     narrow = rows.select("source", BLOCK, "line_number", "entropy", "chars")
     return (
         narrow.groupBy("source", BLOCK)
         .cogroup(starts.groupBy("source", BLOCK))
-        .applyInPandas(summary, SUMMARY)
+        .applyInArrow(summary, SUMMARY)
     )
 
 
@@ -254,11 +262,11 @@ def _compose(summaries: DataFrame) -> DataFrame:
 def _forgeries(rows: DataFrame, states: DataFrame) -> DataFrame:
     judge = _forgeries_of_block()
 
-    def forged_rows(frame, start):
-        if frame.empty or start.empty:
-            return frame.assign(baseline=0.0).iloc[:0][["source", "line_number", "ts", "entropy", "baseline", "raw_text"]]
-        return judge(frame, int(start["n_in"].iloc[0]), float(start["r_in"].iloc[0]))[0]
+    def forged_rows(table, start):
+        if table.num_rows == 0 or start.num_rows == 0:
+            return judge(table.slice(0, 0), 0, 0.0)[0]
+        return judge(table, start["n_in"][0].as_py(), start["r_in"][0].as_py())[0]
 
     return (
-        rows.groupBy("source", BLOCK).cogroup(states.groupBy("source", BLOCK)).applyInPandas(forged_rows, FORGERIES)
+        rows.groupBy("source", BLOCK).cogroup(states.groupBy("source", BLOCK)).applyInArrow(forged_rows, FORGERIES)
     )
