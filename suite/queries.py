@@ -170,7 +170,8 @@ def _text_steps(spark, sf_dir, settings: Settings) -> DataFrame:
 
 
 def _text_gaps(spark, sf_dir) -> DataFrame:
-    return sequence.gaps(_text_steps(spark, sf_dir, BY_TYPE), BY_TYPE)
+    """Gaps of the text logs, stored as ``analyze`` does, for operators that read them along several ways."""
+    return Workspace(spark).keep(sequence.gaps(_text_steps(spark, sf_dir, BY_TYPE), BY_TYPE), "gaps")
 
 
 @query
@@ -204,7 +205,7 @@ def entropy_collapse(spark, sf_dir):
 @query
 def entropy_collapse_in_blocks(spark, sf_dir):
     """The same with logs cut into many blocks, as a log too large for one task is."""
-    return _collapses(spark, sf_dir, Settings(block_lines=2500))
+    return _collapses(spark, sf_dir, Settings(block_lines=1000))
 
 
 @query
@@ -218,6 +219,11 @@ def impossible_travel(spark, sf_dir):
 # Alerts
 
 
+def _stored_audit(spark, sf_dir) -> DataFrame:
+    """The audit events parsed once and stored, for queries with several readers of them."""
+    return Workspace(spark).keep(data.audit_events(spark, sf_dir), "events")
+
+
 @query
 def iam_escalation(spark, sf_dir):
     return alerts.iam_escalation(data.audit_events(spark, sf_dir), SUITE).select(
@@ -234,14 +240,14 @@ def root_abuse(spark, sf_dir):
 
 @query
 def alert_feed(spark, sf_dir):
-    return alerts.alert_feed(data.audit_events(spark, sf_dir), SUITE).select(
+    return alerts.alert_feed(_stored_audit(spark, sf_dir), SUITE).select(
         "source", "line_number", "kind_rank", "kind", "message"
     )
 
 
 @query
 def technique_mapping(spark, sf_dir):
-    feed = alerts.alert_feed(data.audit_events(spark, sf_dir), SUITE)
+    feed = alerts.alert_feed(_stored_audit(spark, sf_dir), SUITE)
     return alerts.with_technique(feed).select("source", "line_number", "kind", "technique_key", "technique")
 
 
@@ -288,7 +294,7 @@ def log_extent(spark, sf_dir):
 
 @query
 def severity_breakdown(spark, sf_dir):
-    return scoring.severity_breakdown(_text_gaps(spark, sf_dir))
+    return scoring.severity_breakdown(sequence.gaps(_text_steps(spark, sf_dir, BY_TYPE), BY_TYPE))
 
 
 def _user_findings(spark, sf_dir, secondary: DataFrame | None = None, scan_pii: bool = False) -> Findings:
@@ -376,7 +382,7 @@ def pii_totals(spark, sf_dir):
 @query
 def incident_narrative(spark, sf_dir):
     settings = BY_TYPE.override(part_rows=500)
-    events = data.audit_events(spark, sf_dir)
+    events = _stored_audit(spark, sf_dir)
     gaps = sequence.gaps(sequence.steps(events, settings), settings)
     counters = scoring.combine(
         events.groupBy("source").agg(F.max("line_number").alias("total_lines")), scoring.severity_breakdown(gaps)

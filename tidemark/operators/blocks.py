@@ -116,9 +116,3 @@ def attach(facts: DataFrame, position: str, per_key: DataFrame, last_position: s
         .drop("_last_blk", last_position)
     )
     return with_block(facts, position, width).join(copies, [key, BLOCK]).drop(BLOCK)
-
-
-def weighted_prefix(df: DataFrame, keys: list[str], value: str, weight: Column, width: int, name: str) -> DataFrame:
-    """Equal values merged to one row (``value``, ``weight``) with the running weight up to and including it in ``name``."""
-    merged = with_block(df.groupBy(*keys, value).agg(F.sum(weight).alias("weight")), value, width)
-    return running(merged, keys, [F.col(value)], F.col("weight"), name).drop(BLOCK)
