@@ -48,6 +48,12 @@ def is_silence(delta: Column, settings: Settings) -> Column:
     return (delta >= 0) & (delta >= low) & (delta <= high)
 
 
+def notable(steps_df: DataFrame, settings: Settings) -> DataFrame:
+    """The steps that any of the findings below can come from: a small part of a healthy log."""
+    delta = F.col("delta_us")
+    return steps_df.filter(is_causality(delta) | is_max_gap(delta, settings) | is_silence(delta, settings))
+
+
 def gaps(steps_df: DataFrame, settings: Settings) -> DataFrame:
     """Silences between the thresholds, outside the safe intervals, with their severity."""
     start, end, delta = F.col("prev_ts"), F.col("ts"), F.col("delta_us")

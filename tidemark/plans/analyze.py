@@ -22,7 +22,7 @@ from tidemark.workspace import Workspace
 class Findings:
     """The results of one run. Every attribute is a DataFrame that is computed when it is used.
 
-    Lines and gaps are written once in the workspace, as almost everything else reads them; ``release`` removes them.
+    Lines and notable steps are written once in the workspace, as almost everything else reads them; ``release`` removes them.
     """
 
     lines: DataFrame
@@ -45,25 +45,26 @@ class Findings:
     def steps(self) -> DataFrame:
         return sequence.steps(self.events, self.settings)
 
+    @cached_property
+    def notable_steps(self) -> DataFrame:
+        """Stored, so that the lines are ordered once for gaps, causality, jumps and their counts."""
+        return self.workspace.keep(sequence.notable(self.steps, self.settings), "steps")
+
     @cached_property
     def gaps(self) -> DataFrame:
-        found = sequence.gaps(self.steps, self.settings)
-        if self.secondary:
-            # Written before the cross-check, which reads them along two ways; no gaps, no reading of other logs.
-            found = self.workspace.keep(found, "silences")
-            logs = [] if found.isEmpty() else self.secondary
-            found = alibi.cross_check(found, logs, self.settings)
-        else:
-            found = alibi.cross_check(found, [], self.settings)
-        return self.workspace.keep(found, "gaps")
+        found = sequence.gaps(self.notable_steps, self.settings)
+        # Without gaps the other logs are not read.
+        if not self.secondary or found.isEmpty():
+            return alibi.cross_check(found, [], self.settings)
+        return self.workspace.keep(alibi.cross_check(found, self.secondary, self.settings), "gaps")
 
     @cached_property
     def causality(self) -> DataFrame:
-        return sequence.causality_violations(self.steps)
+        return sequence.causality_violations(self.notable_steps)
 
     @cached_property
     def max_gap_violations(self) -> DataFrame:
-        return sequence.max_gap_violations(self.steps, self.settings)
+        return sequence.max_gap_violations(self.notable_steps, self.settings)
 
     @cached_property
     def forgeries(self) -> DataFrame:
@@ -77,7 +78,7 @@ class Findings:
     def counters(self) -> DataFrame:
         counted = scoring.combine(
             scoring.line_counters(self.lines, self.scan_pii),
-            scoring.step_counters(self.steps, self.settings),
+            scoring.step_counters(self.notable_steps, self.settings),
             scoring.severity_breakdown(self.gaps),
             scoring.alibi_failures(self.gaps),
             scoring.forgery_counters(self.forgeries),

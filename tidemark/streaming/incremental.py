@@ -104,7 +104,7 @@ class LogStream:
         events = normalize.events(lines)
         logs = space.keep(self.logs.before(batch_id, lines.select("source").distinct()), "logs")
         last_seen = logs.filter(F.col("ts").isNotNull()).select("source", "line_number", "ts")
-        steps = space.keep(sequence.steps(events, settings, last_seen), "steps")
+        steps = space.keep(sequence.notable(sequence.steps(events, settings, last_seen), settings), "steps")
         forgeries, baselines = baseline.collapse_and_state(
             events, settings, space, logs.filter(F.col("n") > 0).select("source", "n", "r")
         )
