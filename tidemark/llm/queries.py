@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, simhash
 from tidemark.llm.common import table
+from tidemark.workspace import Workspace
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -29,3 +30,10 @@ def op7_bpe(spark, sf_dir):
     """Tokens of every document and what they decode to, as digests."""
     coded = bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), word_vocabulary())
     return coded.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op9_simhash(spark, sf_dir):
+    """Near-duplicate classes of all documents by three-word shingles and three differing bits."""
+    docs = table(spark, sf_dir, "documents")
+    return simhash.near_duplicates(docs, Workspace(spark), width=3, limit=3).select("doc_id", "fingerprint", "component_id")
