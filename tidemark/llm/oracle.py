@@ -2,4 +2,45 @@
 
 from __future__ import annotations
 
+from tidemark.llm import linededup
+
 ORACLE: dict[str, str] = {}
+
+ORACLE["op3_line_dedup"] = f"""
+with split as (
+    select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i
+    from documents
+), facts as (
+    select *, len(regexp_extract_all(line, '{linededup.WORD}')) as words,
+        md5(coalesce(string_agg(md5(line), '') over (
+            partition by doc_id order by i rows between {linededup.WINDOW - 1} preceding and current row), '')) as rolled,
+        lead(len(regexp_extract_all(line, '{linededup.WORD}')), 1, 0) over (partition by doc_id order by i) as next_words,
+        i = max(i) over (partition by doc_id) as is_last
+    from split
+), cut as (
+    select *, is_last or words >= {linededup.LINE_WORDS} or next_words >= {linededup.LINE_WORDS}
+        or ('0x' || substr(rolled, 1, 8))::bigint % {linededup.MEAN_LINES} = 0 as ends
+    from facts
+), placed as (
+    select *, coalesce(sum(ends::int) over (
+        partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as chunk
+    from cut
+), chunks as (
+    select doc_id, chunk, min(i) as first, count(*) as size, sum(words) as words,
+        string_agg(line, chr(10) order by i) as body
+    from placed group by doc_id, chunk
+), marked as (
+    select *, words >= case when size > 1 then {linededup.CHUNK_WORDS} else {linededup.LINE_WORDS} end
+        and row_number() over (partition by body, words >= case when size > 1 then {linededup.CHUNK_WORDS}
+            else {linededup.LINE_WORDS} end order by doc_id, first) > 1 as spare
+    from chunks
+), result as (
+    select doc_id, sum(size)::bigint as n_lines,
+        coalesce(sum(size) filter (spare), 0)::bigint as removed_lines,
+        coalesce(sum(words) filter (spare), 0)::bigint as removed_words,
+        coalesce(string_agg(body, chr(10) order by first) filter (not spare), '') as text
+    from marked group by doc_id
+)
+select doc_id, n_lines, removed_lines, removed_words, length(text)::bigint as n_chars, sha256(text) as text_sha256
+from result
+"""

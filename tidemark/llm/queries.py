@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, simhash
+from tidemark.llm import bpe, linededup, simhash
 from tidemark.llm.common import table
 from tidemark.workspace import Workspace
 
@@ -37,3 +37,17 @@ def op9_simhash(spark, sf_dir):
     """Near-duplicate classes of all documents by three-word shingles and three differing bits."""
     docs = table(spark, sf_dir, "documents")
     return simhash.near_duplicates(docs, Workspace(spark), width=3, limit=3).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op3_line_dedup(spark, sf_dir):
+    """All documents without repeated chunks of lines; texts as digests."""
+    rid = linededup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), Workspace(spark))
+    return rid.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_lines",
+        "removed_lines",
+        "removed_words",
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2(F.col("text"), 256).alias("text_sha256"),
+    )
