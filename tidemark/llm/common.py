@@ -22,6 +22,15 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row, whatever reads it.
+
+    The optimizer puts a column's expression in the place that reads it, also within a function that runs for every
+    element of an array; a generator of one row keeps it apart.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def remainder(spark_id: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``: the fold of a document (null for a null id)."""
     return F.expr(f"crc32(cast(cast(`{spark_id}` as string) as binary)) % {int(modulus)}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import linededup
+from tidemark.llm import decontaminate, linededup
 
 ORACLE: dict[str, str] = {}
 
@@ -44,3 +44,28 @@ with split as (
 select doc_id, n_lines, removed_lines, removed_words, length(text)::bigint as n_chars, sha256(text) as text_sha256
 from result
 """
+
+_WORDS = f"regexp_extract_all(translate(text, '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '{decontaminate.WORD}')"
+
+ORACLE["op4_decontaminate"] = f"""
+with doc as (select doc_id, coalesce({_WORDS}, []) as words from documents),
+item as (select item_id, {_WORDS} as words from benchmark),
+windows as (
+    select distinct item_id, least(len(words), {decontaminate.SPAN}) as n,
+        unnest(list_transform(range(1, len(words) - least(len(words), {decontaminate.SPAN}) + 2),
+            lambda i: array_to_string(words[i:i + least(len(words), {decontaminate.SPAN}) - 1], ' '))) as span
+    from item where len(words) > 0
+), lengths as (select distinct n from windows),
+runs as (
+    select doc_id, n, unnest(range(1, len(words) - n + 2)) as place,
+        unnest(list_transform(range(1, len(words) - n + 2), lambda i: array_to_string(words[i:i + n - 1], ' '))) as span
+    from doc, lengths where len(words) >= n
+), met as (select r.doc_id, r.n, r.place, w.item_id from runs r join windows w on r.n = w.n and r.span = w.span),
+hit as (select doc_id, count(distinct p) as n_hit from (
+    select doc_id, unnest(range(place, place + n)) as p from (select distinct doc_id, n, place from met)) group by doc_id),
+listed as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
+    from (select distinct doc_id, item_id::varchar as id from met) group by doc_id)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+    sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc left join hit using (doc_id) left join listed using (doc_id)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, linededup, simhash
+from tidemark.llm import bpe, decontaminate, linededup, simhash
 from tidemark.llm.common import table
 from tidemark.workspace import Workspace
 
@@ -51,3 +51,18 @@ def op3_line_dedup(spark, sf_dir):
         F.length("text").cast("bigint").alias("n_chars"),
         F.sha2(F.col("text"), 256).alias("text_sha256"),
     )
+
+
+@query
+def op4_decontaminate(spark, sf_dir):
+    """Words of all documents that stand in a ten-word window of a benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), Workspace(spark))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_words",
+        F.size("hit").cast("bigint").alias("n_hit"),
+        F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.size("hit") > 0).alias("contaminated"),
+    )
