@@ -44,3 +44,18 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: lis
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(SALTS)).cast("int")
     copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def sampled(df: DataFrame, key: str, rows: int, seed: int = 11) -> DataFrame:
+    """About ``rows`` rows of ``df`` (all, if it has no more), chosen by a hash of ``key``, whatever the table's size."""
+    total = df.count()
+    if total <= rows:
+        return df
+    share = int(rows / total * (1 << 40))
+    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) < share)
+
+
+def labelled(labels: DataFrame, name: str) -> DataFrame:
+    """``doc_id``, ``label`` (0 or 1): one row per labelled document; equal halves of contrary labels count as 1."""
+    known = labels.select("doc_id", F.col(name).cast("double").alias("label")).dropna()
+    return known.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))

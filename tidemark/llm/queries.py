@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, linededup, simhash
+from tidemark.llm import bpe, decontaminate, linededup, quality, simhash
 from tidemark.llm.common import table
 from tidemark.workspace import Workspace
 
@@ -66,3 +66,14 @@ def op4_decontaminate(spark, sf_dir):
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.size("hit") > 0).alias("contaminated"),
     )
+
+
+@query
+def op2_quality(spark, sf_dir):
+    """Quality scores of all documents from co-trained views of text and metadata."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        F.col("row.doc_id").alias("doc_id"), "text_score", "metadata_score", "score",
+        (F.col("score") >= quality.THRESHOLD).alias("accepted"),
+    )
