@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, linededup, quality, simhash
-from tidemark.llm.common import table
+from tidemark.llm import bpe, decontaminate, language, linededup, quality, simhash
+from tidemark.llm.common import remainder, table
 from tidemark.workspace import Workspace
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,13 @@ def op2_quality(spark, sf_dir):
         F.col("row.doc_id").alias("doc_id"), "text_score", "metadata_score", "score",
         (F.col("score") >= quality.THRESHOLD).alias("accepted"),
     )
+
+
+@query
+def op1_language(spark, sf_dir):
+    """Language of every document; a quarter of the documents, by their id's fold, teaches nothing."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    model = language.fit(docs.filter(~held_out).select("text", "lang"))
+    found = language.identify(docs.select("doc_id", "text"), model).select("row.*", "nearest", "score", "rejected")
+    return found.select("doc_id", held_out.alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "rejected")
