@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, language, linededup, quality, simhash
+from tidemark.llm import bpe, decontaminate, language, linededup, quality, simhash, toxicity
 from tidemark.llm.common import remainder, table
 from tidemark.workspace import Workspace
 
@@ -87,3 +87,16 @@ def op1_language(spark, sf_dir):
     model = language.fit(docs.filter(~held_out).select("text", "lang"))
     found = language.identify(docs.select("doc_id", "text"), model).select("row.*", "nearest", "score", "rejected")
     return found.select("doc_id", held_out.alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "rejected")
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    """Toxicity of every document; labels of a fifth of the documents, by their id's fold, are not looked at."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, Workspace(spark))).select("row.doc_id", "score", F.size("passages").alias("n_passages"))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.col("n_passages").cast("bigint").alias("n_passages"),
+    )
