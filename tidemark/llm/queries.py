@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, language, linededup, quality, simhash, toxicity
+from tidemark.llm import bpe, decontaminate, language, linededup, pages, quality, simhash, toxicity
 from tidemark.llm.common import remainder, table
 from tidemark.workspace import Workspace
 
@@ -100,3 +100,10 @@ def op5_toxicity(spark, sf_dir):
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.col("n_passages").cast("bigint").alias("n_passages"),
     )
+
+
+@query
+def op6_pages(spark, sf_dir):
+    """Main text of every page."""
+    found = pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
