@@ -69,3 +69,27 @@ select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
     sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from doc left join hit using (doc_id) left join listed using (doc_id)
 """
+
+ORACLE["op8_knn"] = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as vector from embeddings
+    where vec_id is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id, max(list_dot_product(q.vector, c.vector)::bigint) as score
+    from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.vector) = len(c.vector) group by all
+), ranked as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+ORACLE["op10_warc"] = """
+with p as (
+    select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), f as (select *, min(page_id) over (partition by payload_digest) as first from p)
+select page_id, payload_bytes, payload_digest,
+    case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+    case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+from f
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, language, linededup, pages, quality, simhash, toxicity
+from tidemark.llm import bpe, decontaminate, knn, language, linededup, pages, quality, simhash, toxicity, warc
 from tidemark.llm.common import remainder, table
 from tidemark.workspace import Workspace
 
@@ -107,3 +107,29 @@ def op6_pages(spark, sf_dir):
     """Main text of every page."""
     found = pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op8_knn(spark, sf_dir):
+    """Five best inner products of every fiftieth embedding among all others."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", knn.scaled("embedding").alias("vector"))
+    return knn.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5, Workspace(spark))
+
+
+@query
+def op10_warc(spark, sf_dir):
+    """Write every page to an archive, read all records back."""
+    space = Workspace(spark)
+    folder = space.path("archive")
+    pages_table = table(spark, sf_dir, "pages")
+    warc.write_archive(pages_table, folder, space)
+    records = warc.read_archive(spark, folder)
+    kind = pages_table.schema["page_id"].dataType
+    page = lambda name: F.nullif(F.regexp_extract(warc.field(name), "^<urn:page:(.*)>$", 1), F.lit("")).cast(kind)
+    return records.select(
+        page("WARC-Record-ID").alias("page_id"),
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"),
+        warc.field("WARC-Type").alias("record_type"),
+        page("WARC-Refers-To").alias("refers_to"),
+    )
