@@ -12,15 +12,15 @@ with split as (
     from documents
 ), facts as (
     select *, len(regexp_extract_all(line, '{linededup.WORD}')) as words,
-        md5(coalesce(string_agg(md5(line), '') over (
-            partition by doc_id order by i rows between {linededup.WINDOW - 1} preceding and current row), '')) as rolled,
+        ('0x' || substr(md5(string_agg(md5(line), '') over (
+            partition by doc_id order by i rows between {linededup.WINDOW - 1} preceding and current row)), 1, 8))::bigint as rolled,
         lead(len(regexp_extract_all(line, '{linededup.WORD}')), 1, 0) over (partition by doc_id order by i) as next_words,
         i = max(i) over (partition by doc_id) as is_last
     from split
 ), cut as (
     select *, is_last or words >= {linededup.LINE_WORDS} or next_words >= {linededup.LINE_WORDS}
-        or ('0x' || substr(rolled, 1, 8))::bigint % {linededup.MEAN_LINES} = 0 as ends
-    from facts
+        or rolled < least(lag(rolled, 1, 4294967296) over w, lead(rolled, 1, 4294967296) over w) as ends
+    from facts window w as (partition by doc_id order by i)
 ), placed as (
     select *, coalesce(sum(ends::int) over (
         partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as chunk
