@@ -60,24 +60,24 @@ def with_kept_hashes(rows: DataFrame, span: int, gram: int, short: list[int]) ->
     winnowed = F.transform(
         "least", lambda p: F.struct(F.get("hashes", p).alias("hash"), p.cast("int").alias("place"))
     )
-    runs = [
-        F.when(
-            F.size("words") >= length,
-            F.transform(
-                F.sequence(F.lit(0), last(length)),
-                lambda i, length=length: F.struct(
-                    F.xxhash64(F.lit(length), F.slice("codes", i + 1, length)).alias("hash"), i.cast("int").alias("place")
-                ),
-            ),
-        )
-        for length in short
-    ]
+    runs = [_runs(length, last(length)) for length in short]
     nothing = F.array().cast("array<struct<hash:bigint,place:int>>")
     return placed.withColumn(
         "kept", reduce(lambda a, b: F.concat(a, b), [F.coalesce(x, nothing) for x in [winnowed, *runs]])
     ).drop("codes", "hashes", "least")
 
 
+def _runs(length: int, last: Column) -> Column:
+    """Hash and place of every run of ``length`` words."""
+    return F.when(
+        F.size("words") >= length,
+        F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.struct(F.xxhash64(F.lit(length), F.slice("codes", i + 1, length)).alias("hash"), i.cast("int").alias("place")),
+        ),
+    )
+
+
 def _alignments(docs: DataFrame, sequences: DataFrame, short: list[int], span: int, gram: int, space: Workspace) -> DataFrame:
     """``doc_id``, ``key`` and ``met``: distinct structs of ``sequence`` and ``shift`` (its start in the document)."""
     known = with_kept_hashes(sequences, span, gram, [])
