@@ -36,7 +36,7 @@ def scaled(vector: str, factor: int = 256) -> Column:
 
 
 def _matrix(vectors, dim: int) -> np.ndarray:
-    return np.array([np.asarray(v, np.int64) for v in vectors], np.int64).reshape(-1, dim)
+    return np.array([np.asarray(v, np.int64) for v in vectors], np.int64).reshape(len(vectors), dim)
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -120,8 +120,8 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, space: Workspace) -> Data
                 of = lambda name, i=i, batch=batch: batch.column(name)[i].values
                 dim = batch.column("dim")[i].as_py()
                 found = _best(
-                    of("query_ids").to_numpy(), of("query_vectors").to_numpy().reshape(-1, dim),
-                    of("ids").to_numpy(), of("vectors").to_numpy().reshape(-1, dim), k,
+                    of("query_ids").to_numpy(), of("query_vectors").to_numpy().reshape(len(of("query_ids")), dim),
+                    of("ids").to_numpy(), of("vectors").to_numpy().reshape(len(of("ids")), dim), k,
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["query_id", "vec_id", "score"])
 
