@@ -34,8 +34,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles)."""
-    return simhash.representatives(docs, Workspace(spark))
+    """One document of each group of near duplicates: five-word shingles, up to six differing bits."""
+    return simhash.representatives(docs, Workspace(spark), width=5, limit=6)
 
 
 def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

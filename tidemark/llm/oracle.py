@@ -19,7 +19,7 @@ with split as (
     from split
 ), cut as (
     select *, is_last or words >= {linededup.LINE_WORDS} or next_words >= {linededup.LINE_WORDS}
-        or rolled < least(lag(rolled, 1, 4294967296) over w, lead(rolled, 1, 4294967296) over w) as ends
+        or i > 1 and i < max(i) over (partition by doc_id) - 1 and rolled < least(lag(rolled, 1, 4294967296) over w, lead(rolled, 1, 4294967296) over w) as ends
     from facts window w as (partition by doc_id order by i)
 ), placed as (
     select *, coalesce(sum(ends::int) over (

@@ -30,8 +30,10 @@ from tidemark.workspace import Workspace
 LABELLED_ROWS = 100_000
 #: Beginnings of words that count as tokens, beside the whole words, where the word is longer.
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: Weight of the prior in tokens; log-odds and their significance from which a token scores, and what is taken off them.
+#: Weight of the prior in tokens, and the most of all tokens it may be; log-odds and their significance from which a
+#: token scores, and what is taken off them.
 PRIOR = 5_000.0
+PRIOR_SHARE = 0.05
 LEAST_ODDS = 3.0
 SIGNIFICANCE = 3.0
 MARGIN = 1.0
@@ -165,11 +167,12 @@ def fit(docs: DataFrame, labels: DataFrame, space: Workspace, labelled_rows: int
     if not n_toxic or not n_other:
         return Model({})
     share = (F.col("toxic") + F.col("other")) / F.lit(n_toxic + n_other)
-    a, b = F.col("toxic") + PRIOR * share, F.col("other") + PRIOR * share
-    odds = F.log(a / (n_toxic + PRIOR - a)) - F.log(b / (n_other + PRIOR - b))
+    prior = min(PRIOR, PRIOR_SHARE * (n_toxic + n_other))
+    a, b = F.col("toxic") + prior * share, F.col("other") + prior * share
+    odds = F.log(a / (n_toxic + prior - a)) - F.log(b / (n_other + prior - b))
     scoring = (
-        totals.filter((F.col("token") != "") & (a < n_toxic + PRIOR) & (b < n_other + PRIOR))
-        .select("token", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"), (b / (n_other + PRIOR)).alias("chance"))
+        totals.filter((F.col("token") != "") & (a < n_toxic + prior) & (b < n_other + prior))
+        .select("token", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"), (b / (n_other + prior)).alias("chance"))
         .filter((F.col("odds") > LEAST_ODDS) & (F.col("z") >= SIGNIFICANCE))
         .orderBy(F.col("z").desc(), "token").limit(MODEL_TOKENS).toPandas()
     )
