@@ -102,12 +102,15 @@ class Model:
         scored = {w: self.word(w) for w in set(words)}
         scored = {w: s for w, s in scored.items() if s is not None}
         found = segments(((i, scored[w]) for i, w in enumerate(words) if w in scored), NEUTRAL, len(words)) if scored else []
-        floor = math.log(self.size * max(1, len(words)))
-        return len(words), [(a, b, self.decay * s - floor) for a, b, s in found]
+        return len(words), [(a, b, self.decay * s - self._floor(len(words))) for a, b, s in found]
+
+    def _floor(self, n_words: int) -> float:
+        """What so many words reach by chance; no text is so short that it gains by it."""
+        return math.log(max(1.0, self.size * n_words))
 
     def total(self, n_words: int, found: list[tuple[int, int, float]]) -> float:
         """All segments together on the extreme-value scale; that of an empty segment if there are none."""
-        nothing = -math.log(self.size * max(1, n_words)) - 1.0
+        nothing = -self._floor(n_words) - 1.0
         return float(np.logaddexp.reduce([nothing, *[s for _, _, s in found]]))
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
