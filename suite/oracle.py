@@ -249,6 +249,10 @@ with {TEXT}
 select a.source, a.line_number, a.line from audit_log a
 where not exists (select 1 from parsed p where p.source = a.source and p.line_number = a.line_number)""",
     "custody_hash": "select doc_id, sha256(text) as sha256 from documents",
+    "custody_hash_files": """
+select doc_id % 20 as bucket, sha256(string_agg(text, chr(10) order by doc_id) || chr(10)) as sha256,
+ sha256(string_agg(text, chr(10) order by doc_id) || chr(10)) as sha256_in_chunks
+from documents group by doc_id % 20""",
     "parse_timestamps": """
 select event_type as source, event_id as line_number,
  case event_id % 8
@@ -344,6 +348,12 @@ select source, n_gaps, round(med, 6) as median_seconds, round(mad, 6) as mad_sec
 with {TEXT}, {_steps()}, {_gaps(300)}, {_MAD}
 select g.source, g.end_line, round(g.d, 6) as duration_seconds,
  case when g.d > s.mad * 3 and s.mad > 0 then 'statistical' else 'static' end as cause
+from gaps g join spread s on g.source = s.source""",
+    "gap_cause_far": f"""
+with {TEXT}, {_steps()}, {_gaps(300)}, {_MAD}
+select g.source, g.end_line + case when g.source in ('click', 'error') then -1000000 else 1700000000000000 end as end_line,
+ round(g.d, 6) as duration_seconds,
+ case when g.d > s.mad * 3 and s.mad > 0 then 'statistical' else 'static' end as cause
 from gaps g join spread s on g.source = s.source""",
     "gap_timeline": f"""
 with {TEXT}, {_steps()}, {_gaps(300)}, {_EXTENT},

@@ -87,6 +87,21 @@ def custody_hash(spark, sf_dir):
     return data.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
+@query
+def custody_hash_files(spark, sf_dir):
+    """Documents written as twenty text files, hashed whole and in chunks."""
+    folder = Workspace(spark).path("custody")
+    docs = data.table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("bucket"), "doc_id", "text")
+    (
+        docs.repartition("bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "text")
+        .write.partitionBy("bucket").text(folder)
+    )
+    bucket = F.regexp_extract("source", r"/bucket=(\d+)/", 1).cast("bigint").alias("bucket")
+    whole = files.custody_hashes(spark, folder).select(bucket, "sha256")
+    chunked = files.custody_hashes(spark, folder, whole_file_bytes=1).select(bucket, F.col("sha256").alias("sha256_in_chunks"))
+    return whole.join(chunked, "bucket")
+
+
 @query
 def parse_timestamps(spark, sf_dir):
     lines = normalize.normalize_text(data.stamped_lines(spark, sf_dir), SUITE.override(default_year=2023))
@@ -360,6 +375,16 @@ def gap_cause(spark, sf_dir):
     )
 
 
+@query
+def gap_cause_far(spark, sf_dir):
+    """As ``gap_cause``, with line numbers below zero and beyond 1.7e15."""
+    far = F.when(F.col("source").isin("click", "error"), F.lit(-1_000_000)).otherwise(F.lit(1_700_000_000_000_000))
+    gaps = _text_gaps(spark, sf_dir).withColumn("end_line", F.col("end_line") + far)
+    return medians.gap_cause(gaps, BY_TYPE).select(
+        "source", "end_line", F.round("duration_seconds", 6).alias("duration_seconds"), "cause"
+    )
+
+
 @query
 def gap_timeline(spark, sf_dir):
     events = data.text_events(spark, sf_dir)

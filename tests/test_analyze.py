@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import Settings, Workspace, analyze
+from tidemark.operators import blocks
 from tidemark.sources import files, normalize
 
 
@@ -57,6 +58,27 @@ def test_custody(spark, tmp_path):
     }
 
 
+def test_names_need_no_hash(spark, tmp_path, monkeypatch):
+    """Counting does not hash; a secondary log is not looked at while there are no gaps."""
+    (tmp_path / "a.log").write_text("2024-10-15 10:00:00 a\n2024-10-15 10:00:10 b\n")
+    (tmp_path / "empty.log").write_text("")
+    (tmp_path / "other").write_text("2024-10-15 10:00:05 c\n")
+    space = Workspace(spark, str(tmp_path / "space"))
+    found = analyze(spark, str(tmp_path / "*.log"), alibi_logs=[str(tmp_path / "other")], workspace=space)
+    found.hashes = None
+    found.secondary = [lambda: 1 / 0]
+    assert {(r.source.rsplit("/", 1)[1], r.total_lines) for r in found.counters.collect()} == {("a.log", 2), ("empty.log", 0)}
+    found.release()
+
+
+def test_positions_of_any_size(spark):
+    facts = [("a", p) for p in (-1_000_000, -30, 0, 5, 1_700_000_000_000_000)] + [("b", 7)]
+    facts = spark.createDataFrame(facts, "source STRING, at BIGINT")
+    values = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "source STRING, v INT")
+    joined = blocks.attach(facts, "at", values, "source", 10).collect()
+    assert sorted((r.source, r["at"], r.v) for r in joined) == sorted((s, p, 1 if s == "a" else 2) for s, p in map(tuple, facts.collect()))
+
+
 RECORDS = [{"eventTime": f"2024-10-14T10:0{i}:00Z", "eventName": "é", "n": [1, 2]} for i in range(3)]
 DOCUMENTS = {
     "pretty": json.dumps({"Records": RECORDS}, indent=2, ensure_ascii=False),

@@ -123,6 +123,7 @@ AUDIT_REJECTS = [
     "", "text", '["eventTime"]', '{"broken":1', '{"eventTime":""}', '{"eventTime":null}', "{}", '{"eventTime":20241014}',
     '{"eventTime":"2024-10-14T10:00:00Z"} tail', '{"eventTime":"2024-10-14T10:00:00Z"},{"eventTime":"2024-10-14T10:00:00Z"}',
     '{"eventTime":"2024-10-14T10:00:00Z","userIdentity":{"arn":7}}', '{"eventTime":"soon"}',
+    "{'eventTime':'2024-10-14T10:00:00Z'}", "{\"eventTime\":'2024-10-14T10:00:00Z'}",
 ]
 
 

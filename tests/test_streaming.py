@@ -117,6 +117,15 @@ def test_state_table(spark, tmp_path):
     assert rows(table.before(4, spark.createDataFrame([("b",)], "k STRING"))) == [("b", 2)]
 
 
+def test_a_repeated_whole_copy_starts_from_the_one_before(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path), "k STRING, v BIGINT", ["k"], whole_every=2)
+    state = lambda *rows: spark.createDataFrame(list(rows), "k STRING, v BIGINT")
+    table.write(0, state(("a", 1)))
+    table.write(1, state(("b", 2)))
+    table.write(1, state(("b", 7), ("c", 8)))
+    assert sorted(map(tuple, table.before(2).collect())) == [("a", 1), ("b", 7), ("c", 8)]
+
+
 def test_follow_a_folder(spark, tmp_path):
     import os
 

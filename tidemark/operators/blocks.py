@@ -105,14 +105,12 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], width: int, name:
     return running(rows, keys, [F.col(c) for c in order], F.lit(1).cast("bigint"), name).drop(BLOCK)
 
 
-def attach(facts: DataFrame, position: str, per_key: DataFrame, last_position: str, key: str, width: int) -> DataFrame:
+def attach(facts: DataFrame, position: str, per_key: DataFrame, key: str, width: int) -> DataFrame:
     """Join one row of ``per_key`` to every fact of its key without sending a whole key to one task.
 
-    The row is repeated once per block up to ``last_position``, and the join is on (key, block).
+    The row is repeated for each block of ``position`` that holds facts, of any sign and size, and the join is on
+    (key, block).
     """
-    copies = (
-        per_key.withColumn("_last_blk", F.expr(f"`{last_position}` div {int(width)}L"))
-        .withColumn(BLOCK, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last_blk"))))
-        .drop("_last_blk", last_position)
-    )
-    return with_block(facts, position, width).join(copies, [key, BLOCK]).drop(BLOCK)
+    placed = with_block(facts, position, width)
+    copies = placed.select(key, BLOCK).distinct().join(per_key, key)
+    return placed.join(copies, [key, BLOCK]).drop(BLOCK)

@@ -48,8 +48,8 @@ def gap_spread(gaps_df: DataFrame, settings: Settings) -> DataFrame:
         durations.groupBy("source").agg(F.max("end_line").alias("last_line")), "source"
     )
     # Twice the values, so that a median between two microseconds stays a whole number.
-    medians = middle.select("source", "last_line", (F.col("lower") + F.col("upper")).alias("median_2"))
-    deviations = blocks.attach(durations, "end_line", medians, "last_line", "source", settings.block_lines).select(
+    medians = middle.select("source", (F.col("lower") + F.col("upper")).alias("median_2"))
+    deviations = blocks.attach(durations, "end_line", medians, "source", settings.block_lines).select(
         "source", F.abs(2 * F.col("duration_us") - F.col("median_2")).alias("deviation_2")
     )
     spread = middle_values(deviations, "deviation_2", 2 * width).select(
@@ -67,8 +67,8 @@ def gap_spread(gaps_df: DataFrame, settings: Settings) -> DataFrame:
 def gap_cause(gaps_df: DataFrame, settings: Settings, spread: DataFrame | None = None) -> DataFrame:
     """``statistical`` for a gap longer than three deviations (the gap itself, not its distance to the median)."""
     spread = spread if spread is not None else gap_spread(gaps_df, settings)
-    per_log = spread.select("source", "last_line", "mad_seconds")
+    per_log = spread.select("source", "mad_seconds")
     beyond = (F.col("duration_seconds") > F.col("mad_seconds") * 3) & (F.col("mad_seconds") > 0)
-    return blocks.attach(gaps_df, "end_line", per_log, "last_line", "source", settings.block_lines).withColumn(
+    return blocks.attach(gaps_df, "end_line", per_log, "source", settings.block_lines).withColumn(
         "cause", F.when(beyond, "statistical").otherwise("static")
     )

@@ -107,8 +107,8 @@ def explain(scored: DataFrame) -> DataFrame:
 
 def with_position(gaps: DataFrame, extent: DataFrame, settings: Settings) -> DataFrame:
     """Attach ``file_start`` and ``span_us`` of the log to each of its gaps."""
-    per_log = extent.select("source", "last_line", "file_start", "span_us")
-    return blocks.attach(gaps, "end_line", per_log, "last_line", "source", settings.block_lines)
+    per_log = extent.select("source", "file_start", "span_us")
+    return blocks.attach(gaps, "end_line", per_log, "source", settings.block_lines)
 
 
 def gap_timeline(gaps: DataFrame, extent: DataFrame, settings: Settings) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import dataclasses
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,8 +30,11 @@ class Findings:
     settings: Settings
     workspace: Workspace
     scan_pii: bool = False
-    secondary: list[DataFrame] = dataclasses.field(default_factory=list)
+    #: Each gives the time stamps of a secondary log; called only once there are gaps to check.
+    secondary: list[Callable[[], DataFrame]] = dataclasses.field(default_factory=list)
     hashes: DataFrame | None = None
+    #: Names of the logs' files, known without reading them.
+    names: DataFrame | None = None
     run_at: datetime = dataclasses.field(default_factory=datetime.now)
 
     @cached_property
@@ -56,7 +60,8 @@ class Findings:
         # Without gaps the other logs are not read.
         if not self.secondary or found.isEmpty():
             return alibi.cross_check(found, [], self.settings)
-        return self.workspace.keep(alibi.cross_check(found, self.secondary, self.settings), "gaps")
+        secondary = [stamps_of() for stamps_of in self.secondary]
+        return self.workspace.keep(alibi.cross_check(found, secondary, self.settings), "gaps")
 
     @cached_property
     def causality(self) -> DataFrame:
@@ -68,11 +73,14 @@ class Findings:
 
     @cached_property
     def forgeries(self) -> DataFrame:
-        return baseline.entropy_collapse(self.events, self.settings, self.workspace)
+        """Stored, as the counters, the report and the caller read them."""
+        found = baseline.entropy_collapse(self.events, self.settings, self.workspace)
+        return self.workspace.keep(found, "forgeries")
 
     @cached_property
     def alerts(self) -> DataFrame:
-        return alerts.alert_feed(self.events, self.settings)
+        """Stored, as the report and the narrative number them."""
+        return self.workspace.keep(alerts.alert_feed(self.events, self.settings), "alerts")
 
     @cached_property
     def counters(self) -> DataFrame:
@@ -83,7 +91,7 @@ class Findings:
             scoring.alibi_failures(self.gaps),
             scoring.forgery_counters(self.forgeries),
             # Names logs without a single line, too.
-            *([self.hashes.select("source")] if self.hashes is not None else []),
+            *([self.names] if self.names is not None else []),
         )
         return self.workspace.keep(counted, "counters")
 
@@ -118,9 +126,7 @@ class Findings:
 
     @cached_property
     def timeline(self) -> DataFrame:
-        extent = self.counters.select(
-            "source", "file_start", reports.span_us().alias("span_us"), self.counters["total_lines"].alias("last_line")
-        )
+        extent = self.counters.select("source", "file_start", reports.span_us().alias("span_us"))
         return narrative.gap_timeline(self.gaps, extent, self.settings)
 
     def write_report(self, path: str) -> None:
@@ -172,14 +178,24 @@ def analyze(
     is_stored = not isinstance(logs, DataFrame) and not documents and normalizer is None
     if not (is_event_table or is_stored):
         lines = space.keep(lines, "events")
-    hashes = None
+    hashes = names = None
     if custody and not isinstance(logs, DataFrame):
-        hashes = files.custody_hashes(spark, logs)
-    secondary = [
-        normalize.events(normalized(log, False)).select("ts") for log in _readable(spark, alibi_logs or [])
-    ]
+        hashes, names = files.custody_hashes(spark, logs), files.file_names(spark, logs)
+
+    def stamps_of(log) -> DataFrame:
+        # Only the time stamps are wanted, so nothing is numbered or stored.
+        if isinstance(log, DataFrame):
+            parsed = normalized(log, False)
+        elif normalizer is None:
+            parsed = parse(files.raw_splits(spark, log), chosen)
+        else:
+            parsed = normalized(log, False)
+        return normalize.events(parsed).select("ts")
+
+    secondary = [partial(stamps_of, log) for log in _readable(spark, alibi_logs or [])]
     return Findings(
-        lines, chosen, space, scan_pii=scan_pii, secondary=secondary, hashes=hashes, run_at=run_at or datetime.now()
+        lines, chosen, space, scan_pii=scan_pii, secondary=secondary, hashes=hashes, names=names,
+        run_at=run_at or datetime.now(),
     )
 
 

@@ -18,7 +18,7 @@ def span_us():
 
 def detailed_gaps(gaps: DataFrame, counters: DataFrame, settings: Settings) -> DataFrame:
     """The report's view of each gap, numbered in order, with its place and width within the log in percent."""
-    extent = counters.select("source", F.col("total_lines").alias("last_line"), "file_start", span_us().alias("span_us"))
+    extent = counters.select("source", "file_start", span_us().alias("span_us"))
     placed = narrative.with_position(sequence.number_gaps(gaps, settings), extent, settings)
     span = t.seconds(F.col("span_us"))
     offset = t.seconds(t.micros_between(F.col("file_start"), F.col("start_time")))
@@ -82,7 +82,8 @@ def integrity_report(header: DataFrame, details: DataFrame, alerts: DataFrame, s
     """The nested report, ready for JSON.
 
     Its two lists grow with the findings, so it comes in parts of ``part_rows`` gaps and alerts. Part 0 carries the
-    header and is the whole report of every log that has no more than that; further parts continue the lists.
+    header and is the whole report of every log that has no more than that; further parts continue the lists
+    ``anomalies.cloud_alerts`` and ``detailed_gaps``, their other fields being null.
     """
     size = settings.part_rows
     gap_fields = (
@@ -112,13 +113,14 @@ def integrity_report(header: DataFrame, details: DataFrame, alerts: DataFrame, s
     joined = first.join(gap_parts, ["source", "part"], "full").join(alert_parts, ["source", "part"], "full")
     empty_gaps = F.from_json(F.lit("[]"), gap_parts.schema["detailed_gaps"].dataType)
     alerts_or_none = F.coalesce("cloud_alerts", F.array().cast("array<string>"))
+    # Further parts have no counts of their own, but their alerts stand in the same place.
+    kinds = header.schema["anomalies"].dataType
+    blank = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kinds.fields])
     return joined.select(
         "source",
         "part",
         "metadata",
-        F.when(F.col("anomalies").isNotNull(), F.col("anomalies").withField("cloud_alerts", alerts_or_none))
-        .alias("anomalies"),
-        F.when(F.col("anomalies").isNull(), alerts_or_none).alias("more_cloud_alerts"),
+        F.coalesce("anomalies", blank).withField("cloud_alerts", alerts_or_none).alias("anomalies"),
         "trust_metrics",
         F.coalesce("detailed_gaps", empty_gaps).alias("detailed_gaps"),
     )
@@ -126,8 +128,8 @@ def integrity_report(header: DataFrame, details: DataFrame, alerts: DataFrame, s
 
 def gap_ledger(gaps: DataFrame, scored: DataFrame, settings: Settings) -> DataFrame:
     """One row per gap with the log's totals beside it; ``source`` and ``end_line`` give the order."""
-    totals = scored.select("source", "total_lines", "causality_count", "forgery_count", "trust", "status")
-    return blocks.attach(gaps, "end_line", totals, "total_lines", "source", settings.block_lines).select(
+    totals = scored.select("source", "causality_count", "forgery_count", "trust", "status")
+    return blocks.attach(gaps, "end_line", totals, "source", settings.block_lines).select(
         "source",
         "end_line",
         t.text_stamp(F.col("start_time"), "T").alias("start_time"),

@@ -94,9 +94,9 @@ def unpack_records(documents: DataFrame, strict: bool = False) -> DataFrame:
     only, gives nothing for a document that cannot be parsed, and writes each record anew in Python's JSON spelling.
     """
     body = F.trim(F.col("document"), F.lit(" \t\r\n"))
-    whole = F.when(F.endswith(body, F.lit("}")), F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<struct<Records: variant>>"))
-    as_object = F.from_json(body, "struct<Records: array<string>>")
-    as_list = F.from_json(body, "array<string>")
+    whole = F.when(F.endswith(body, F.lit("}")), F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<struct<Records: variant>>", normalize.STRICT))
+    as_object = F.from_json(body, "struct<Records: array<string>>", normalize.STRICT)
+    as_list = F.from_json(body, "array<string>", normalize.STRICT)
     usable = F.startswith(body, F.lit("{")) & F.coalesce(F.size(whole) == 1, F.lit(False))
     records = F.when(
         usable,
@@ -135,16 +135,32 @@ def read_audit_documents(spark: SparkSession, paths: str | list[str], strict: bo
 
 # Files up to this size are hashed from one binary column; larger ones are read in chunks.
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
+# Stores whose files can be read in chunks by the tasks, by the scheme of their address.
+CHUNKED_SCHEMES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs"}
+
+
+def file_names(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``source``: the names of the files, from their listing alone."""
+    # A scan passes over files without content; the listing still names them.
+    names = [re.sub("^file:///", "file:/", name) for name in spark.read.text(path_list(paths)).inputFiles()]
+    return spark.createDataFrame([(name,) for name in names], "source STRING")
 
 
 def custody_hashes(spark: SparkSession, paths: str | list[str], whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """``(source, sha256)`` of each file's bytes, files in parallel; ``N/A`` for one that cannot be read."""
+    """``(source, sha256)`` of each file's bytes, files in parallel; ``N/A`` for one that is gone or closed to the reader.
+
+    Files of stores that tasks can not read in chunks are hashed whole whatever their size. Any other failure to read
+    ends the run.
+    """
     files = spark.read.format("binaryFile").load(path_list(paths))
     source = F.col("_metadata.file_path").alias("source")
-    small = files.filter(F.col("length") <= whole_file_bytes).select(source, F.sha2("content", 256).alias("sha256"))
+    scheme = F.regexp_extract(F.col("_metadata.file_path"), "^([a-z0-9]+):", 1)
+    chunked = (F.col("length") > whole_file_bytes) & scheme.isin(list(CHUNKED_SCHEMES))
+    small = files.filter(~chunked).select(source, F.sha2("content", 256).alias("sha256"))
 
     def hash_in_chunks(frames):
         import hashlib
+        from urllib.parse import unquote
 
         import pandas as pd
         from pyarrow import fs
@@ -152,27 +168,25 @@ def custody_hashes(spark: SparkSession, paths: str | list[str], whole_file_bytes
         for frame in frames:
             rows = []
             for path in frame["source"]:
+                scheme, rest = path.split(":", 1)
+                uri = f"{CHUNKED_SCHEMES[scheme]}:" + (rest if rest.startswith("//") else f"//{rest}")
                 try:
-                    uri = path if not path.startswith("file:/") or path.startswith("file:///") else "file://" + path[5:]
-                    system, name = fs.FileSystem.from_uri(uri)
+                    if scheme == "file":
+                        system, name = fs.LocalFileSystem(), unquote("/" + rest.lstrip("/"))
+                    else:
+                        system, name = fs.FileSystem.from_uri(uri)
                     digest = hashlib.sha256()
                     with system.open_input_stream(name) as stream:
                         while chunk := stream.read(4 * 1024 * 1024):
                             digest.update(chunk)
                     rows.append((path, digest.hexdigest()))
-                except Exception:
+                except (FileNotFoundError, PermissionError):
                     rows.append((path, "N/A"))
             yield pd.DataFrame(rows, columns=["source", "sha256"])
 
-    large = (
-        files.filter(F.col("length") > whole_file_bytes)
-        .select(source)
-        .mapInPandas(hash_in_chunks, "source STRING, sha256 STRING")
-    )
+    large = files.filter(chunked).select(source).mapInPandas(hash_in_chunks, "source STRING, sha256 STRING")
     hashed = small.unionByName(large)
-    # A scan passes over files without content; the listing still names them.
-    names = [re.sub("^file:///", "file:/", name) for name in spark.read.text(path_list(paths)).inputFiles()]
-    listed = spark.createDataFrame([(name,) for name in names], "source STRING")
+    listed = file_names(spark, paths)
     empty = listed.join(files.select(source), "source", "left_anti").withColumn("sha256", F.sha2(F.lit(b""), 256))
     return hashed.unionByName(empty)
 

@@ -48,6 +48,10 @@ _TYPED = {
 }
 
 
+# Names and texts in single quotes are no JSON.
+STRICT = {"allowSingleQuotes": "false"}
+
+
 def normalize_audit(raw: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Cloud audit records, one JSON object per line.
 
@@ -55,7 +59,7 @@ def normalize_audit(raw: DataFrame, settings: Settings | None = None) -> DataFra
     that is not text rejects the line.
     """
     payload = text.strip(F.col("line"))
-    parsed = F.from_json(F.concat(F.lit("["), F.col("_payload"), F.lit("]")), _RECORD)
+    parsed = F.from_json(F.concat(F.lit("["), F.col("_payload"), F.lit("]")), _RECORD, STRICT)
     record = F.when(
         F.startswith("_payload", F.lit("{")) & F.endswith("_payload", F.lit("}")), parsed
     )

@@ -53,7 +53,11 @@ class StateTable:
 
     def before(self, batch_id: int, wanted: DataFrame | None = None) -> DataFrame:
         """State as the batches before ``batch_id`` left it, for the keys in ``wanted`` or for all."""
-        whole = [n for n in _numbers(self.spark, f"{self.folder}/whole") if n < batch_id]
+        return self._state(batch_id, batch_id, wanted)
+
+    def _state(self, batch_id: int, whole_before: int, wanted: DataFrame | None = None) -> DataFrame:
+        """As ``before``, starting from a whole copy older than ``whole_before``."""
+        whole = [n for n in _numbers(self.spark, f"{self.folder}/whole") if n < whole_before]
         base = max(whole, default=-1)
         paths = [f"{self.folder}/whole/{base}"] if whole else []
         paths += [
@@ -73,7 +77,8 @@ class StateTable:
     def write(self, batch_id: int, changes: DataFrame) -> None:
         changes.write.mode("overwrite").parquet(f"{self.folder}/changes/{batch_id}")
         if (batch_id + 1) % self.whole_every == 0:
-            self.before(batch_id + 1).write.mode("overwrite").parquet(f"{self.folder}/whole/{batch_id}")
+            # Never from this batch's own copy, which an earlier try may have left.
+            self._state(batch_id + 1, batch_id).write.mode("overwrite").parquet(f"{self.folder}/whole/{batch_id}")
 
 
 @dataclass
