@@ -114,14 +114,14 @@ def alert_feed(events: DataFrame, settings: Settings, initial: DataFrame | None
     )
 
 
-# Technique per finding. The last two are listed for lookup; no rule raises them.
+# Technique per finding. No rule raises the trail and logging ones; they are listed for lookup.
 TECHNIQUES = {
-    "time_gap": "T1070.006 (Timestomp / Indicator Removal)",
-    "root_abuse": "T1078.001 (Default Accounts)",
-    "CreateAccessKey": "T1098 (Account Manipulation)",
-    "ConsoleLogin": "T1078 (Valid Accounts)",
     "DeleteTrail": "T1562.008 (Disable or Modify Cloud Trail)",
     "StopLogging": "T1562.008 (Disable or Modify Cloud Trail)",
+    "CreateAccessKey": "T1098 (Account Manipulation)",
+    "ConsoleLogin": "T1078 (Valid Accounts)",
+    "root_abuse": "T1078.001 (Default Accounts)",
+    "time_gap": "T1070.006 (Timestomp / Indicator Removal)",
 }
 TECHNIQUE_OF_KIND = {ESCALATION: "CreateAccessKey", ROOT: "root_abuse", TRAVEL: "ConsoleLogin"}
 

@@ -14,36 +14,42 @@ def count_inside(gaps_df: DataFrame, secondary: DataFrame, settings: Settings, w
 
     Both tables are put on one time line. The count is the number of events before the end minus the number up to the
     start, each read off a running total, so the cost grows with the rows and not with the pairs. Events with the same
-    stamp are merged before they move. ``within`` names columns of both tables that must agree.
+    stamp, and gap ends with the same stamp, are merged before they move; only the instants travel along the line, and
+    the gaps read their two totals by instant. ``within`` names columns of both tables that must agree.
     """
     keys = list(within or [])
     width = settings.bin_seconds * t.MICROS
-    columns = gaps_df.columns
     # At one instant: an end reads the total first, then events add to it, then a start reads it.
     events = (
         secondary.groupBy(*keys, F.col("ts").alias("_ts"))
         .agg(F.count(F.lit(1)).alias("_weight"))
         .select(*keys, t.epoch_micros(F.col("_ts")).alias("_at"), "_weight", F.lit(1).alias("_turn"))
     )
+    gaps = gaps_df.withColumns(
+        {"_start": t.epoch_micros(F.col("start_time")), "_end": t.epoch_micros(F.col("end_time"))}
+    )
     ends = F.array(
-        F.struct(t.epoch_micros(F.col("end_time")).alias("_at"), F.lit(0).alias("_turn"), F.lit(1).alias("_sign")),
-        F.struct(t.epoch_micros(F.col("start_time")).alias("_at"), F.lit(2).alias("_turn"), F.lit(-1).alias("_sign")),
+        F.struct(F.col("_end").alias("_at"), F.lit(0).alias("_turn")),
+        F.struct(F.col("_start").alias("_at"), F.lit(2).alias("_turn")),
     )
-    points = gaps_df.select(*columns, F.inline(ends)).withColumn("_weight", F.lit(0).cast("bigint"))
-    line = events.unionByName(points, allowMissingColumns=True)
+    instants = gaps.select(*keys, F.inline(ends)).distinct().withColumn("_weight", F.lit(0).cast("bigint"))
+    line = events.unionByName(instants)
     axis = keys
     if not keys:
         line, axis = line.withColumn("_all", F.lit(0)), ["_all"]
     totals = blocks.running(
         blocks.with_block(line, "_at", width), axis, [F.col("_at"), F.col("_turn")], F.col("_weight"), "_total"
     )
-    counted = (
-        totals.filter(F.col("_turn") != 1)
-        .groupBy(*columns)
-        .agg(F.sum(F.col("_total") * F.col("_sign")).alias("alibi_evidence_count"))
-    )
+    counted = gaps
+    for turn, at, name in ((0, "_end", "_below"), (2, "_start", "_upto")):
+        read = totals.filter(F.col("_turn") == turn).select(
+            *[F.col(k).alias(f"_{name}_{k}") for k in keys], F.col("_at").alias(f"_{name}_at"), F.col("_total").alias(name)
+        )
+        same = [counted[k].eqNullSafe(read[f"_{name}_{k}"]) for k in keys]
+        counted = counted.join(read, [*same, counted[at] == read[f"_{name}_at"]])
     # A gap of no length would count the events at its instant negatively.
-    return counted.withColumn("alibi_evidence_count", F.greatest(F.col("alibi_evidence_count"), F.lit(0).cast("bigint")))
+    evidence = F.greatest(F.col("_below") - F.col("_upto"), F.lit(0).cast("bigint"))
+    return counted.select(*[gaps_df[c] for c in gaps_df.columns], evidence.alias("alibi_evidence_count"))
 
 
 def cross_check(gaps_df: DataFrame, secondary_logs: list[DataFrame], settings: Settings) -> DataFrame:

@@ -126,15 +126,13 @@ def without_safe_spans(gaps_df: DataFrame, safe: DataFrame, settings: Settings)
     spans = safe.groupBy(t.epoch_micros(F.col("safe_start")).alias("_at")).agg(
         F.max(t.epoch_micros(F.col("safe_end"))).alias("_safe_end")
     ).select("_at", "_safe_end", F.lit(0).alias("_turn"))
-    asked = gaps_df.select(
-        "*",
-        t.epoch_micros(F.col("start_time")).alias("_at"),
-        t.epoch_micros(F.col("end_time")).alias("_end"),
-        F.lit(1).alias("_turn"),
-    )
+    # Gaps that start at one instant are asked for once, and read the answer by the instant.
+    gaps = gaps_df.withColumn("_start", t.epoch_micros(F.col("start_time")))
+    asked = gaps.select(F.col("_start").alias("_at"), F.lit(1).alias("_turn")).distinct()
     line = spans.unionByName(asked, allowMissingColumns=True).withColumn("_all", F.lit(0))
     reach = blocks.running(
         blocks.with_block(line, "_at", width), ["_all"], [F.col("_at"), F.col("_turn")], F.col("_safe_end"), "_reach", "max"
     )
-    covered = F.coalesce(F.col("_reach") >= F.col("_end"), F.lit(False))
-    return reach.filter((F.col("_turn") == 1) & ~covered).select(*gaps_df.columns)
+    reach = reach.filter(F.col("_turn") == 1).select(F.col("_at").alias("_start"), "_reach")
+    covered = F.coalesce(F.col("_reach") >= t.epoch_micros(F.col("end_time")), F.lit(False))
+    return gaps.join(reach, "_start").filter(~covered).select(*gaps_df.columns)
