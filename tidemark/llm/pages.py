@@ -41,6 +41,9 @@ NAMES = frozenset(
     "respond newsletter subscribe subscription signup signin login popup modal overlay pagination pager toolbar skip".split()
 )
 
+# Before a name, these say something of the element itself: an entry's header, a column without sidebar.
+ABOUT = frozenset("no has with without entry post article".split())
+
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
@@ -70,10 +73,11 @@ def _set_aside(name: str, attributes: str, in_article: bool) -> bool:
             for word in value.split():
                 parts = re.split(r"[-_:.]+", _CAMEL.sub("-", word))
                 lowered = [p.lower() for p in parts]
-                # Of the article itself only a name that is wholly one of these counts, as in a comment's article.
-                if (lowered[0] in NAMES and (name not in ARTICLE or lowered[0].startswith(("comment", "repl", "related", "ad")))) or (
-                    lowered[-1] in NAMES and lowered[0] not in ("no", "has", "with", "without", "entry", "post", "article") and name not in ARTICLE
-                ):
+                if name in ARTICLE:
+                    # Of the article itself only a name that is wholly one of these counts, as a comment's.
+                    if len(lowered) == 1 and lowered[0] in NAMES:
+                        return True
+                elif lowered[0] in NAMES or (lowered[-1] in NAMES and lowered[0] not in ABOUT):
                     return True
     return False
 
