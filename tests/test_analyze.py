@@ -71,6 +71,19 @@ def test_names_need_no_hash(spark, tmp_path, monkeypatch):
     found.release()
 
 
+def test_both_forms_of_audit_files(spark, tmp_path):
+    """A file of one record a line and a printed document, read in one run, each as what it is."""
+    records = [{"eventTime": f"2024-10-14T10:0{i}:00Z", "eventName": "x"} for i in range(5)]
+    (tmp_path / "by line.json").write_text("\n".join(json.dumps(r) for r in records))
+    (tmp_path / "printed.json").write_text(json.dumps({"Records": records}, indent=2))
+    space = Workspace(spark, str(tmp_path / "space"))
+    found = analyze(spark, str(tmp_path / "*.json"), audit=True, documents=None, workspace=space)
+    assert {(unquote(r.source).rsplit("/", 1)[1], r.total_lines, r.malformed_count) for r in found.counters.collect()} == {
+        ("by line.json", 5, 0), ("printed.json", 5, 0)
+    }
+    found.release()
+
+
 def test_positions_of_any_size(spark):
     facts = [("a", p) for p in (-1_000_000, -30, 0, 5, 1_700_000_000_000_000)] + [("b", 7)]
     facts = spark.createDataFrame(facts, "source STRING, at BIGINT")

@@ -7,7 +7,7 @@ import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
-from functools import cached_property, partial
+from functools import cached_property, partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -144,7 +144,7 @@ def analyze(
     logs: str | list[str] | DataFrame,
     *,
     audit: bool = False,
-    documents: bool = False,
+    documents: bool | None = False,
     normalizer: normalize.Normalizer | None = None,
     settings: Settings | None = None,
     settings_path: str | None = None,
@@ -158,24 +158,29 @@ def analyze(
     """Analyze text logs, audit records or an event table; each ``source`` is one log.
 
     ``logs`` is a path, glob or list of them, a table of raw lines (source, line_number, line), or a table of events
-    with a ``ts`` column. ``documents`` reads each audit file as one JSON document. ``alibi_logs`` are secondary logs
-    in the same format or event tables; a path that does not exist is skipped with a warning.
+    with a ``ts`` column. ``documents`` reads each audit file as one JSON document; None decides for
+    each file by its first line. ``alibi_logs`` are secondary logs in the same format (one record a line) or event tables; a path that does not exist is skipped with a warning.
     """
     chosen = settings or (load_settings(settings_path) if settings_path else Settings())
     chosen = chosen.override(**overrides)
     space = workspace or Workspace(spark)
     parse = normalizer or (normalize.normalize_audit if audit else normalize.normalize_text)
 
-    def normalized(data, as_documents: bool) -> DataFrame:
+    def normalized(data, as_documents: bool | None) -> DataFrame:
         if isinstance(data, DataFrame):
             return data if "ts" in data.columns else parse(data, chosen)
+        if as_documents is None:
+            whole, by_line = files.by_form(spark, data)
+            forms = [normalized(whole, True)] if whole else []
+            forms += [normalized(by_line, False)] if by_line or not whole else []
+            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), forms)
         if as_documents:
             return parse(files.unpack_records(files.raw_documents(spark, data)), chosen)
         return files.read_normalized(spark, data, chosen, space, parse)
 
     lines = _complete(normalized(logs, documents))
     is_event_table = isinstance(logs, DataFrame) and "ts" in logs.columns
-    is_stored = not isinstance(logs, DataFrame) and not documents and normalizer is None
+    is_stored = not isinstance(logs, DataFrame) and documents is False and normalizer is None
     if not (is_event_table or is_stored):
         lines = space.keep(lines, "events")
     hashes = names = None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -86,6 +87,24 @@ def is_multi_line(document: Column) -> Column:
     return (first == "{") | (F.startswith(first, F.lit("{")) & ~F.endswith(first, F.lit("}")))
 
 
+def by_form(spark: SparkSession, paths: str | list[str]) -> tuple[list[str], list[str]]:
+    """The files that are one JSON document each, and those of one record a line, judged by their first lines.
+
+    Only the files' names reach the driver, which has listed them anyway.
+    """
+    firsts = (
+        raw_splits(spark, paths)
+        .filter(F.col("split_start") == 0)
+        .groupBy("source")
+        .agg(F.min_by("line", "counter").alias("line"))
+        .select("source", is_multi_line(F.col("line")).alias("is_document"))
+    )
+    documents, lines = [], []
+    for row in firsts.orderBy("source").toLocalIterator():
+        (documents if row["is_document"] else lines).append(unquote(row["source"]))
+    return documents, lines
+
+
 def unpack_records(documents: DataFrame, strict: bool = False) -> DataFrame:
     """``(source, line_number, line)``: the records of JSON documents, numbered in order.
 
@@ -160,7 +179,6 @@ def custody_hashes(spark: SparkSession, paths: str | list[str], whole_file_bytes
 
     def hash_in_chunks(frames):
         import hashlib
-        from urllib.parse import unquote
 
         import pandas as pd
         from pyarrow import fs
