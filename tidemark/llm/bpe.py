@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Words whose tokens a Python worker remembers. It bounds memory only; a forgotten word is encoded again.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 150_000
+#: Rows whose tokens a worker holds at a time.
+ROWS = 256
 #: Longer words are not remembered, so that the memory has a bound in bytes too.
 REMEMBERED_LENGTH = 64
 
@@ -216,12 +218,16 @@ def _with_tokens(docs: DataFrame, vocabulary: str, columns: str, result) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(shipped.value)
         for batch in batches:
-            made = [result(bpe, t.as_py()) for t in batch.column("text")]
-            kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
-            arrays = [
-                pa.array([m[i] for m in made], type=kinds.get(name, pa.string())) for i, name in enumerate(names)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *arrays], names=["row", *names])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                made = [result(bpe, t.as_py()) for t in part.column("text")]
+                kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
+                arrays = [
+                    pa.array([m[i] for m in made], type=kinds.get(name, pa.string())) for i, name in enumerate(names)
+                ]
+                yield pa.RecordBatch.from_arrays([part.column("row"), *arrays], names=["row", *names])
+        # A worker that waits for other tasks holds no more than the vocabulary.
+        bpe.remembered.clear()
 
     return rows.mapInArrow(run, schema)
 

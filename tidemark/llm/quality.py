@@ -176,10 +176,10 @@ def _features(rows: DataFrame, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, metadata = _views(batch)
-            arrays = [pa.array(list(v), pa.list_(pa.float64())) for v in (text, metadata)]
+            arrays = [pa.array([row.tobytes() for row in v], pa.binary()) for v in (text, metadata)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *arrays], names=[*keep, "text_x", "metadata_x"])
 
-    return rows.mapInArrow(run, f"{kept}, text_x array<double>, metadata_x array<double>")
+    return rows.mapInArrow(run, f"{kept}, text_x binary, metadata_x binary")
 
 
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
     mine = ours.orderBy("doc_id").toPandas()
     theirs = _features(pool, ["doc_id"]).orderBy("doc_id").toPandas()
     n_text, n_metadata = len(text_features("")), SOURCES + LANGUAGES + 2
-    table = lambda values, width: np.array(values.tolist(), float).reshape(-1, width)
+    table = lambda values, width: np.frombuffer(b"".join(values), float).reshape(-1, width)
     return co_train(
         table(mine["text_x"], n_text), table(mine["metadata_x"], n_metadata), mine["label"].to_numpy(float),
         mine["held"].to_numpy(bool), table(theirs["text_x"], n_text), table(theirs["metadata_x"], n_metadata),
