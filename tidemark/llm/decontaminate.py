@@ -31,9 +31,14 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: What ``WORD`` leaves out of the lower half of the code, without the blank.
+BETWEEN = "".join(c for c in map(chr, range(128)) if c not in UPPER + LOWER + "0123456789 ")
+
+
 def words_of(text: Column) -> Column:
-    """The words of a whole text in order; null has none."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The words of a whole text in order (runs of ``WORD``); null has none."""
+    spaced = F.translate(text, UPPER + BETWEEN, LOWER + " " * len(BETWEEN))
+    return F.coalesce(F.array_remove(F.split(spaced, " "), ""), F.array().cast("array<string>"))
 
 
 def with_kept_hashes(rows: DataFrame, span: int, gram: int, short: list[int]) -> DataFrame:
@@ -48,7 +53,7 @@ def with_kept_hashes(rows: DataFrame, span: int, gram: int, short: list[int]) ->
         "hashes",
         F.when(
             F.size("words") >= span,
-            F.transform(F.sequence(F.lit(1), last(gram) + 1), lambda i: F.xxhash64(F.slice("codes", i, gram))),
+            F.transform(F.sequence(F.lit(0), last(gram)), lambda i: F.xxhash64(*[F.get("codes", i + n) for n in range(gram)])),
         ),
     )
     # The place of each window's least hash; neighbouring windows mostly agree.
