@@ -20,7 +20,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without chunks of lines that stand earlier; documents of which nothing is left go, others keep their columns.
+    """Texts without passages and chunks of lines that stand earlier; documents of which nothing is left go, others keep their columns.
 
     ``n_chars`` follows the text.
     """
