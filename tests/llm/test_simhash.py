@@ -99,3 +99,39 @@ def test_classes_and_representatives(spark):
     empty = docs.limit(0)
     assert simhash.near_duplicates(empty, space).count() == 0 and simhash.representatives(empty, space).count() == 0
     space.release()
+
+
+def test_similar_documents(spark):
+    """Against all pairs: near copies are linked, texts on one template whose fingerprints chain are not."""
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    base = words(300)
+    texts = [" ".join(base[:240] + words(90)) for _ in range(120)]  # pairwise about 0.55
+    texts += [" ".join(base[:270] + words(45)) for _ in range(120)]  # about 0.7, within six bits now and then
+    for n in range(8):
+        near = words(200)
+        for _ in range(6):
+            near = near[:]
+            near[int(rng.integers(0, 200))] = f"other{n}"
+            texts.append(" ".join(near))
+    texts += [texts[0], "", None]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    fps = [plain_fingerprint(t, 5) for t in texts]
+    label, chained = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 6:
+                if simhash.jaccard(sets[i], sets[j]) < 0.8:
+                    chained += 1
+                elif label[i] != label[j]:
+                    old, new = max(label[i], label[j]), min(label[i], label[j])
+                    label = [new if x == old else x for x in label]
+    assert chained > 20
+    space = Workspace(spark)
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, space, 5, 6, 0.8).collect()}
+    assert [found[i] for i in range(len(texts))] == label
+    kept = {r.doc_id for r in simhash.representatives(docs, space, 5, 6, 0.8).collect()}
+    assert kept == set(label)
+    assert simhash.representatives(docs.limit(0), space, 5, 6, 0.8).count() == 0
+    space.release()

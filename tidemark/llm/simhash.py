@@ -36,16 +36,36 @@ CHUNK = 512
 _FIELDS = 0x5555555555555555
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """64-bit SimHash over the ``width``-word shingles of the whole text (A-Z lowered); 0 without words."""
+def _shingles(text: str | None, width: int) -> tuple[bytes, list[int], list[int]]:
+    """The words of the whole text (A-Z lowered) in one, and where its ``width``-word shingles begin and end."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return b"", [], []
     joined = b" ".join(words)
     width = min(width, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    first, last = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
+    return joined, starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The hashes of the different ``width``-word shingles of the whole text, in order; none without words."""
+    joined, first, last = _shingles(text, width)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SHINGLE_SEED) for a, b in zip(first, last)), np.uint64, len(first)))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two shingle sets; empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def fingerprint(text: str | None, width: int) -> int:
+    """64-bit SimHash over the ``width``-word shingles of the whole text (A-Z lowered); 0 without words."""
+    joined, first, last = _shingles(text, width)
+    if not first:
+        return 0
     digest, totals = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, len(first), BLOCK):
         hashes = [digest(joined[a:b], SHINGLE_SEED) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK])]
@@ -92,11 +112,42 @@ def links(distinct: DataFrame, limit: int, space: Workspace) -> DataFrame:
 
     ``distinct`` holds each fingerprint once, as bigint ``fp``.
     """
+    met = _meetings(distinct, ["fp"], limit, space)
+    return met.mapInPandas(lambda b: _connect(b, limit), "a bigint, b bigint").distinct()
+
+
+def unlike_pairs(labelled: DataFrame, limit: int, space: Workspace) -> DataFrame:
+    """Every pair ``a``, ``b`` of keys of unequal labels whose fingerprints differ in at most ``limit`` bits, once.
+
+    ``labelled`` holds each ``key`` once, with ``fp`` and ``label``, all bigint.
+    """
+    met = _meetings(labelled, ["fp", "key", "label"], limit, space)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for one, other in zip(batch["fps"], batch["others"]):
+                (fp, key, label), (fp2, key2, label2) = (
+                    [np.array([r[c] for r in rows], np.int64) for c in ("fp", "key", "label")] for rows in (one, other)
+                )
+                near = np.bitwise_count(fp.view(np.uint64)[:, None] ^ fp2.view(np.uint64)[None, :]) <= limit
+                rows, columns = np.nonzero(near & (label[:, None] != label2[None, :]))
+                a, b = key[rows], key2[columns]
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return met.mapInPandas(run, "a bigint, b bigint").distinct()
+
+
+def _meetings(distinct: DataFrame, columns: list[str], limit: int, space: Workspace) -> DataFrame:
+    """``fps`` and ``others``: chunks of rows that share a cell of the grid, every two of a cell in some row.
+
+    The chunks hold ``columns``; of a single one its values, else structs.
+    """
     masks = cell_masks(limit)
-    placed = distinct.select("fp", embedded().alias("u")).select(
-        "fp", F.posexplode(F.array(*[F.col("u").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "cell")
+    whole = F.struct(*columns) if len(columns) > 1 else F.col(columns[0])
+    placed = distinct.select("fp", whole.alias("whole"), embedded().alias("u")).select(
+        "fp", "whole", F.posexplode(F.array(*[F.col("u").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "cell")
     )
-    placed = placed.select("fp", F.col("choice").cast("int").alias("choice"), "cell")
+    placed = placed.select("fp", "whole", F.col("choice").cast("int").alias("choice"), "cell")
     # Cells with a single fingerprint, nearly all of them, end here: the counts are combined before the shuffle.
     shared = (
         placed.groupBy("choice", "cell").agg(F.count("*").alias("n")).filter("n > 1")
@@ -104,9 +155,9 @@ def links(distinct: DataFrame, limit: int, space: Workspace) -> DataFrame:
     )
     chunked = (
         placed.join(shared, ["choice", "cell"])
-        .withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("whole"), F.col("chunks")).cast("int"))
         .groupBy("choice", "cell", "chunks", "chunk")
-        .agg(F.collect_list("fp").alias("fps"))
+        .agg(F.collect_list("whole").alias("fps"))
     )
     # A chunk meets every other chunk of its cell once: the one so many places on, around the circle.
     meetings = space.keep(chunked, "chunks")
@@ -121,7 +172,7 @@ def links(distinct: DataFrame, limit: int, space: Workspace) -> DataFrame:
         )
         .select("fps", "others")
     )
-    return alone.unionByName(met).mapInPandas(lambda b: _connect(b, limit), "a bigint, b bigint").distinct()
+    return alone.unionByName(met)
 
 
 def _connect(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
@@ -187,13 +238,92 @@ def near_duplicates(docs: DataFrame, space: Workspace, width: int = 5, limit: in
     )
 
 
-def representatives(docs: DataFrame, space: Workspace, width: int = 5, limit: int = 3) -> DataFrame:
+def similar_documents(docs: DataFrame, space: Workspace, width: int, limit: int, least: float) -> DataFrame:
+    """``doc_id``, ``key``, ``component_id`` of every document, linked by verified pairs only.
+
+    A link is a pair of texts whose fingerprints differ in at most ``limit`` bits and whose sets of ``width``-word shingles have a
+    Jaccard similarity of ``least`` or more; all such pairs count. Texts are compared first with the root of the
+    component that fingerprints alone give, which joins groups of near copies at once; then every pair within the limit
+    that this has not joined. Null and empty texts are alike. Ids as in ``near_duplicates``.
+    """
+    members = space.keep(fingerprints(docs, width), "members")
+    texts = space.keep(members.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "distinct")
+    by_fp = texts.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("n"))
+    roots = components(links(by_fp.select("fp"), limit, space), space).withColumnRenamed("node", "fp")
+    rooted = by_fp.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    # A component goes by the text of its root; only those of two texts and more are compared.
+    groups = rooted.groupBy("root").agg(
+        F.sum("n").alias("size"), F.max(F.when(F.col("fp") == F.col("root"), F.col("first"))).alias("head")
+    ).filter("size > 1")
+    groups = space.keep(groups, "groups")
+    grouped = space.keep(rooted.select("fp", "root"), "rooted").join(groups, "root").select("fp", "size", "head")
+    linked = space.keep(texts.join(space.keep(grouped, "grouped"), "fp").select("key", "fp", "size", "head"), "linked")
+    sets = space.keep(_shingle_sets(docs, linked, width), "sets")
+    # A head's set goes to one task for every so many texts of its group.
+    parts = F.expr(f"cast((size + {CHUNK - 1}) div {CHUNK} as int)")
+    heads = groups.join(sets.withColumnRenamed("key", "head"), "head").select(
+        "head", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("shingles").alias("others")
+    )
+    compared = (
+        linked.filter("key <> head").withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))
+        .join(sets, "key").select(F.col("key").alias("a"), F.col("head").alias("b"), "part", "shingles")
+        .join(heads.withColumnRenamed("head", "b"), ["b", "part"]).select("a", "b", "shingles", "others")
+    )
+    met = space.keep(compared.mapInPandas(lambda b: _alike(b, least), "a bigint, b bigint, alike boolean"), "met")
+    joined = met.filter("alike").select("a", "b")
+    # Groups with texts unlike their head: all pairs within the limit, but those with the head, which are known.
+    mixed = met.groupBy("b").agg(F.count("*").alias("n"), F.min("alike").alias("whole")).filter("not whole and n > 1").select("b")
+    open_ = met.join(space.keep(mixed, "mixed"), "b", "left_semi").select(F.col("a").alias("key"), F.when(F.col("alike"), F.col("b")).otherwise(F.col("a")).alias("label"))
+    open_ = space.keep(open_.join(linked.select("key", "fp"), "key"), "open")
+    pairs = space.keep(unlike_pairs(open_, limit, space), "pairs")
+    paired = (
+        pairs.join(sets.withColumnRenamed("key", "a"), "a")
+        .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("others")), "b").select("a", "b", "shingles", "others")
+    )
+    more = paired.mapInPandas(lambda b: _alike(b, least), "a bigint, b bigint, alike boolean").filter("alike").select("a", "b")
+    alike = components(joined.unionByName(more), space).withColumnRenamed("node", "key")
+    named = texts.join(alike, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    names = space.keep(named.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    classes = space.keep(space.keep(named, "named").join(names, "root").select("key", "component_id"), "classes")
+    return members.join(classes, "key").select("doc_id", "key", "component_id")
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``key`` and ``shingles`` (a shingle set as bytes) of the wanted texts, each once."""
+    rows = docs.select(text_key().alias("key"), "text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [shingle_set(t.as_py(), width).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.binary())], names=["key", "shingles"])
+
+    texts = rows.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    return texts.mapInArrow(run, "key bigint, shingles binary")
+
+
+def _alike(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        alike = [
+            jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least
+            for a, b in zip(batch["shingles"], batch["others"])
+        ]
+        yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "alike": np.array(alike, bool)})
+
+
+def representatives(docs: DataFrame, space: Workspace, width: int = 5, limit: int = 3, least: float | None = None) -> DataFrame:
     """``docs`` with one document of each near-duplicate component: the one with the smallest doc_id.
 
+    With ``least``, only pairs of that Jaccard similarity are linked (``similar_documents``), else all within ``limit``.
+
     Columns and their names stay as they are. Documents without an id are kept. Rows that repeat the id of the document
     that stays are reduced to the one whose text has the smallest hash; exact repeats of that row stay one row.
     """
-    classes = near_duplicates(docs, space, width, limit).select("doc_id", "key", "component_id")
+    if least is None:
+        classes = near_duplicates(docs, space, width, limit).select("doc_id", "key", "component_id")
+    else:
+        classes = similar_documents(docs, space, width, limit, least)
     staying = classes.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("key").alias("key"))
     rows = packed(docs).withColumns({"doc_id": F.col("row.doc_id"), "key": text_key("row.text")})
     kept = rows.join(staying, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
