@@ -45,3 +45,12 @@ def test_rows(spark):
     found = pages.extract(df).select("row.page_id", "row.text", "text").collect()
     assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, [(1, "t", "a"), (1, "t", "a"), (None, None, "")]))
     assert pages.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("inside", ["<article><h3>Teaser</h3><p>Read more of it.</p></article>", "<article><p>I say so too, dear all.</p></article>"])
+def test_text_outside_a_small_article(inside):
+    """A teaser or comment in an article element does not displace the main text, nor long ones a short article."""
+    text = [f"Paragraph {i} of the running text is long enough to surge above the threshold by itself, surely so." for i in range(4)]
+    body = "".join(f"<div>{t}</div>" for t in text)
+    assert pages.main_text(f"<body><div>{body}</div><nav>x</nav>{inside}</body>") == "\n".join(text)
+    assert pages.main_text(f"<body><article>{body}</article><div>{text[0]}</div></body>") == "\n".join(text)

@@ -4,8 +4,8 @@ Markup is stripped into blocks, one line each, and each line weighs as much as i
 are not its article (menus, headers, footers, sidebars, notices, adverts, forms, comments: by element, role, class or id)
 and lines made of links weigh nothing, and a stretch of empty lines stands where such a part ends. The sums over sliding
 windows of lines surge where running text begins and fall to nothing where it ends; all text between a surge and the dive
-after it is kept. On a page with an article element the lines inside it count as surges by themselves, and all others
-weigh nothing.
+after it is kept. On a page with an article element the lines inside it are kept whole, unless the surges outside it hold
+more text; these are then kept instead.
 """
 
 from __future__ import annotations
@@ -183,10 +183,17 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None) -> str:
     """The blocks between each surge and its dive, in page order, one to a line; empty for null, empty or textless pages."""
     lines = lines_of(page or "")
-    if any(inside and text for text, _, inside in lines):
-        weights = [max(weight, 1) + SURGE if inside and text else 0 for text, weight, inside in lines]
-    else:
-        weights = [weight for _, weight, _ in lines]
+    if not any(inside and text for text, _, inside in lines):
+        return "\n".join(_stretches(lines, [weight for _, weight, _ in lines])[0])
+    article, _ = _stretches(lines, [max(weight, 1) + SURGE if inside and text else 0 for text, weight, inside in lines])
+    # Surges outside that hold more text than the article: it is then a teaser or a comment.
+    outside, surges = _stretches(lines, [0 if inside else weight for _, weight, inside in lines])
+    weight = sum(weight for text, weight, inside in lines if inside)
+    return "\n".join(outside if surges and sum(map(len, outside)) > weight else article)
+
+
+def _stretches(lines: list[tuple[str, int, bool]], weights: list[int]) -> tuple[list[str], bool]:
+    """The lines between each surge and its dive, or else of the highest stretch; whether there is a surge."""
     size = len(weights)
     sums, total = [], 0
     for i, weight in enumerate(weights):
@@ -210,7 +217,7 @@ def main_text(page: str | None) -> str:
             best = (height, stretch)
         i = j
     # A page of short lines only has no surge; its highest stretch is then the text.
-    return "\n".join(kept or best[1])
+    return kept or best[1], bool(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
