@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, linededup
+from tidemark.llm import decontaminate, linededup, manifest
 
 ORACLE: dict[str, str] = {}
 
@@ -93,3 +93,74 @@ select page_id, payload_bytes, payload_digest,
     case when payload_bytes >= 100 and page_id <> first then first end as refers_to
 from f
 """
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen({name}::varchar)::varchar || ':' || {name}::varchar, '-')"
+
+
+# Eight steps of the checksum's shift register for one byte.
+_STEP = "c"
+for _ in range(8):
+    _STEP = f"list_transform([{_STEP}], lambda y: case when y & 1 = 1 then xor(y >> 1, 3988292384) else y >> 1 end)[1]"
+_CRC = (
+    "xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda s: ascii(s)::bigint)), "
+    f"lambda a, b: list_transform([xor(a, b)], lambda c: {_STEP})[1]), 4294967295)"
+)
+_FANOUT = manifest.FANOUT
+
+ORACLE["op13_manifest"] = f"""
+with recursive marked as (
+    select *, case when {_CRC} % 5 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as altered
+    from documents
+), hashed as (
+    select doc_id, source, sha256({" || ".join(_field(c) for c in manifest.FIELDS)}) as leaf,
+        sha256({" || ".join(_field("altered" if c == "text" else c) for c in manifest.FIELDS)}) as altered_leaf
+    from marked
+), leaves as (
+    select *, row_number() over (partition by source order by doc_id nulls first, leaf, altered_leaf) - 1 as place,
+        count(*) over (partition by source) as n from hashed
+), nodes as (
+    select source, 0 as level, place, leaf as digest, n from leaves
+    union all
+    select source, level + 1, place // {_FANOUT}, sha256(string_agg(digest, '' order by place)), (any_value(n) + {_FANOUT - 1}) // {_FANOUT}
+    from nodes where n > 1 group by source, level, place // {_FANOUT}
+), tops as (
+    select source, digest as subroot, row_number() over (order by source nulls first) - 1 as place, count(*) over () as n
+    from nodes where n = 1
+), upper as (
+    select 0 as level, place, subroot as digest, n from tops
+    union all
+    select level + 1, place // {_FANOUT}, sha256(string_agg(digest, '' order by place)), (any_value(n) + {_FANOUT - 1}) // {_FANOUT}
+    from upper where n > 1 group by level, place // {_FANOUT}
+), steps as (
+    select source, level, place,
+        coalesce(string_agg(digest, '') over (w rows between unbounded preceding and 1 preceding), '') as before,
+        coalesce(string_agg(digest, '') over (w rows between 1 following and unbounded following), '') as after
+    from nodes where n > 1 window w as (partition by source, level, place // {_FANOUT} order by place)
+), upper_steps as (
+    select level, place,
+        coalesce(string_agg(digest, '') over (w rows between unbounded preceding and 1 preceding), '') as before,
+        coalesce(string_agg(digest, '') over (w rows between 1 following and unbounded following), '') as after
+    from upper where n > 1 window w as (partition by level, place // {_FANOUT} order by place)
+), climb as (
+    select source, place as leaf_place, level, place, altered_leaf as folded, '' as proof from (select *, 0 as level from leaves)
+    union all
+    select c.source, leaf_place, c.level + 1, c.place // {_FANOUT}, sha256(before || folded || after), proof || before || after
+    from climb c join steps s on s.source is not distinct from c.source and s.level = c.level and s.place = c.place
+), climbed as (
+    select source, leaf_place, folded, proof from climb
+    qualify row_number() over (partition by source, leaf_place order by level desc) = 1
+), climb_up as (
+    select c.source, leaf_place, 0 as level, t.place, folded, proof from climbed c join tops t on t.source is not distinct from c.source
+    union all
+    select c.source, leaf_place, c.level + 1, c.place // {_FANOUT}, sha256(before || folded || after), proof || before || after
+    from climb_up c join upper_steps s on s.level = c.level and s.place = c.place
+), ended as (
+    select * from climb_up qualify row_number() over (partition by source, leaf_place order by level desc) = 1
+)
+select l.doc_id, l.leaf, t.subroot, u.digest as root, sha256(e.proof) as proof_sha256, e.folded as folded_root,
+    e.folded = u.digest as verified
+from leaves l join ended e on e.source is not distinct from l.source and e.leaf_place = l.place
+    join tops t on t.source is not distinct from l.source join (select digest from upper where n = 1) u on true
+"""

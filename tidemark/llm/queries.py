@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, knn, language, linededup, pages, quality, simhash, toxicity, warc
+from tidemark.llm import bpe, decontaminate, knn, language, linededup, manifest, pages, quality, simhash, toxicity, warc
 from tidemark.llm.common import remainder, table
 from tidemark.workspace import Workspace
 
@@ -137,3 +138,17 @@ def op10_warc(spark, sf_dir):
         warc.field("WARC-Type").alias("record_type"),
         page("WARC-Refers-To").alias("refers_to"),
     )
+
+
+@query
+def op13_manifest(spark, sf_dir):
+    """Merkle roots and proofs of all documents; a fifth of them, by the hash of their id, is checked in lower case."""
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    made = manifest.manifest(docs, Workspace(spark), F.when(tampered, lowered).otherwise(F.col("text")))
+    folded = made.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof_hash(F.col("steps")).alias("proof_sha256"),
+        manifest.folded(F.col("altered_leaf"), F.col("steps")).alias("folded_root"),
+    )
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
