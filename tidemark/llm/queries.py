@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, knn, language, linededup, manifest, pages, quality, simhash, toxicity, warc
+from tidemark.llm import bpe, decontaminate, knn, language, linededup, manifest, pages, quality, simhash, toxicity, warc, whitening
 from tidemark.llm.common import remainder, table
 from tidemark.workspace import Workspace
 
@@ -152,3 +152,13 @@ def op13_manifest(spark, sf_dir):
         manifest.folded(F.col("altered_leaf"), F.col("steps")).alias("folded_root"),
     )
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    """All embeddings on the four leading components of their distinct vectors, scaled to unit variance."""
+    made = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", Workspace(spark))
+    return made.select(
+        "row.vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", "explained",
+        "identity_error",
+    )
