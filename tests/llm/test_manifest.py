@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import manifest
+from tidemark.llm.common import numbered
 from tidemark.workspace import Workspace
 
 SCHEMA = "doc_id bigint, source string, lang string, n_chars bigint, text string"
@@ -99,7 +100,7 @@ def test_clashing_columns_are_left_out(spark, tmp_path):
 def test_numbering_cuts_a_group_of_equal_rows(spark, tmp_path):
     nodes = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").alias("g"), F.lit(1).alias("v"))
     space = Workspace(spark, str(tmp_path))
-    placed = manifest.numbered(nodes, "g", ["v"], space, "t").groupBy("g").agg(
+    placed = numbered(nodes, "g", ["v"], space, "t").groupBy("g").agg(
         F.count_distinct("place").alias("places"), F.max("place").alias("last"), F.max("n").alias("n")
     )
     assert {tuple(r) for r in placed.collect()} == {("hot", 2000, 1999, 2000), (None, 1000, 999, 1000)}

@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.common import numbered
 from tidemark.workspace import Workspace
 
 FANOUT = 16
@@ -35,31 +36,6 @@ def leaf_hash(values: dict[str, Column]) -> Column:
     return F.sha2(F.concat(*[field(values[name]) for name in FIELDS]), 256)
 
 
-def numbered(nodes: DataFrame, group: str, order: list[str], space: Workspace, name: str) -> DataFrame:
-    """Add ``place`` (from 0 along ``order``, nulls first) and ``n``, the number of rows, both within ``group``.
-
-    Equal rows get different places in any order. No task sorts more than a range of the rows, whatever the groups' sizes.
-    """
-    # A row's own number, last in the order, lets a range end between rows that are equal otherwise.
-    keyed = nodes.withColumn("_row", F.monotonically_increasing_id())
-    keys = [F.col(c).asc_nulls_first() for c in (group, *order, "_row")]
-    counted = (
-        keyed.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        .select(*nodes.columns, F.monotonically_increasing_id().alias("_counter"))
-    )
-    # The upper bits of the counter are the partition's number; written, since it need not be the same in a second run.
-    stored = space.keep(counted, name).withColumn("_part", F.shiftright("_counter", 33))
-    parts = stored.groupBy(group, "_part").agg(F.min("_counter").alias("_first"), F.count("*").alias("_rows"))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(group)
-    offsets = parts.select(
-        F.col(group).alias("_group"), F.col("_part").alias("_of"), "_first",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"), F.sum("_rows").over(whole).alias("n"),
-    )
-    joined = stored.join(offsets, stored[group].eqNullSafe(offsets["_group"]) & (stored["_part"] == offsets["_of"]))
-    return joined.select(*nodes.columns, (F.col("_counter") - F.col("_first") + F.col("_before")).alias("place"), "n")
-
-
 def pivoted(nodes: DataFrame, group: str, payload: list[str], fanout: int) -> DataFrame:
     """One row per parent of nodes ``(group, place, n, *payload)``: ``c0`` to the last slot, each a struct of ``payload``.
 

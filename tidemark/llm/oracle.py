@@ -164,3 +164,19 @@ select l.doc_id, l.leaf, t.subroot, u.digest as root, sha256(e.proof) as proof_s
 from leaves l join ended e on e.source is not distinct from l.source and e.leaf_place = l.place
     join tops t on t.source is not distinct from l.source join (select digest from upper where n = 1) u on true
 """
+
+ORACLE["op11_substrings"] = r"""
+with doc as (
+    select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda w: w <> '') as words from documents
+), windows as (
+    select doc_id, unnest(range(1, len(words) - 48)) as place,
+        sha256(unnest(list_transform(range(1, len(words) - 48), lambda i: array_to_string(words[i:i + 49], ' ')))) as span
+    from doc where len(words) >= 50
+), spare as (
+    select doc_id, place from (select *, min(doc_id) over (partition by span) as first from windows) where first < doc_id
+), gone as (select doc_id, list(distinct p) as places from (select doc_id, unnest(range(place, place + 50)) as p from spare) group by doc_id)
+select doc_id, len(words)::bigint as n_words, coalesce(len(places), 0)::bigint as n_removed,
+    sha256(array_to_string(case when places is null then words else
+        list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda z: not list_contains(places, z[2])), lambda z: z[1]) end, ' ')) as kept_sha256
+from doc left join gone using (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, knn, language, linededup, manifest, pages, quality, simhash, toxicity, warc, whitening
+from tidemark.llm import bpe, decontaminate, knn, language, linededup, manifest, pages, quality, simhash, substrings, toxicity, warc, whitening
 from tidemark.llm.common import remainder, table
 from tidemark.workspace import Workspace
 
@@ -162,3 +162,13 @@ def op12_whitening(spark, sf_dir):
         "row.vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", "explained",
         "identity_error",
     )
+
+
+@query
+def op11_substrings(spark, sf_dir):
+    """All documents without spans of fifty words and more that a document of smaller id holds, as digests."""
+    found = substrings.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), Workspace(spark))
+    return found.select(
+        "doc_id", "n_words", "n_removed",
+        F.when(F.col("n_removed") > 0, F.sha2("kept", 256)).otherwise(F.col("whole")).alias("kept_sha256"),
+    )
