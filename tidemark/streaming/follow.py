@@ -6,6 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.sources import appended
+
 # The columns that put the lines of followed files in order, file by file as they arrived.
 FILE_ORDER = ("file_time", "file", "split_start")
 
@@ -33,6 +35,21 @@ def follow_text(spark: SparkSession, folder: str, since: datetime | None = None,
     return lines
 
 
+def follow_appended(spark: SparkSession, path: str, from_end: bool = False, partition_bytes: int | None = None) -> DataFrame:
+    """Lines appended to the files of a folder or pattern, each file a log of its own; new files are taken in too.
+
+    A line counts once it has its end; what is written of it before is held back. ``from_end`` passes over the lines
+    that the files hold when the stream is first started. Restarts go on where the last batch ended. Files must be
+    readable by the tasks' own processes (local and shared folders, and the stores that Arrow opens). A file that has become
+    shorter is read anew from its beginning; one that was replaced by a longer one is not told apart.
+    """
+    appended.register(spark)
+    reader = spark.readStream.format(appended.NAME).option("path", path).option("start", "latest" if from_end else "earliest")
+    if partition_bytes:
+        reader = reader.option("partitionBytes", partition_bytes)
+    return reader.load()
+
+
 def messages(stream: DataFrame, source: str, seq: str, message: str) -> DataFrame:
     """Any stream of messages as log lines; ``seq`` must order the messages of a source, as an offset does."""
     return stream.select(
