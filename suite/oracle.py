@@ -17,6 +17,13 @@ parsed as (
 
 TEXT = f"""audit_log as (select event_type as source, event_id as line_number, {_LINE} as line from events), {_PARSED}"""
 
+_LEVEL = """
+strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || case when (event_id * 7919) % 100 < 85
+ then substr('abcdefghijklmnopqrstuvwxyz012345', 1, 30 + (event_id % 3)::int)
+ else repeat(substr('abcdefghijklmnopqrstuvwxyz', 1, 12 + (user_id % 2)::int), 2) end"""
+
+LEVELS = f"""audit_log as (select event_type as source, event_id as line_number, {_LEVEL} as line from events), {_PARSED}"""
+
 USER_TEXT = f"""audit_log as (
  select 'u' || user_id as source, row_number() over (partition by user_id order by event_id) as line_number, {_LINE} as line
  from events), {_PARSED}"""
@@ -294,6 +301,9 @@ with {ORDER_LOG}, {_steps()}
 select source, line_number, prev_ts as timestamp_before, ts as timestamp_after, d as delta_seconds from steps where us > 172800000000""",
     "entropy_collapse": _COLLAPSE_QUERY,
     "entropy_collapse_in_blocks": _COLLAPSE_QUERY,
+    "entropy_collapse_two_levels": f"""
+with recursive {LEVELS}, {_COLLAPSE}
+select source, line_number, ts, round(entropy, 6) as entropy, round(baseline, 6) as baseline, raw_text from forgeries""",
     "impossible_travel": f"""
 with {AUDIT}, {_TRAVEL}
 select source, line_number, ts, actor, prev_ip, source_ip, round(hours, 6) as delta_hours, {_TRAVEL_TEXT} as message from travel""",

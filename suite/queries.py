@@ -204,8 +204,9 @@ def max_gap_violations(spark, sf_dir):
     return sequence.max_gap_violations(sequence.steps(data.order_log(spark, sf_dir), SUITE), SUITE)
 
 
-def _collapses(spark, sf_dir, settings: Settings) -> DataFrame:
-    found = baseline.entropy_collapse(data.text_events(spark, sf_dir), settings, Workspace(spark))
+def _collapses(spark, sf_dir, settings: Settings, events: DataFrame | None = None) -> DataFrame:
+    events = events if events is not None else data.text_events(spark, sf_dir)
+    found = baseline.entropy_collapse(events, settings, Workspace(spark))
     return found.select(
         "source", "line_number", "ts", F.round("entropy", 6).alias("entropy"), F.round("baseline", 6).alias("baseline"),
         "raw_text",
@@ -223,6 +224,12 @@ def entropy_collapse_in_blocks(spark, sf_dir):
     return _collapses(spark, sf_dir, Settings(block_lines=1000))
 
 
+@query
+def entropy_collapse_two_levels(spark, sf_dir):
+    """Many blocks of logs whose payloads lie around the cut, so that no block's decisions stand by themselves."""
+    return _collapses(spark, sf_dir, Settings(block_lines=1000), data.two_level_events(spark, sf_dir))
+
+
 @query
 def impossible_travel(spark, sf_dir):
     return alerts.impossible_travel(data.audit_events(spark, sf_dir), SUITE).select(

@@ -1,19 +1,23 @@
 """Entropy collapse: events whose payload is far more uniform than the log's running baseline.
 
 The baseline ``r`` is a running mean that skips the events it flags, so each event depends on the decisions before it.
-Within one block that is a short fold. Across blocks, a block whose decisions are settled changes the baseline by a
-straight line, ``r_out = slope * r_in + shift``, and its decisions stay the same while ``r_in`` keeps within a range that
-the fold also yields. Every block is therefore folded at once from an estimate; a pass over one small row per block then
-finds the true ``r_in`` of each. Only blocks whose range the true value misses are folded again. The first such block of a
-log has its true value already, so every round settles at least one more block and the end result is the sequential one.
+Within one block that is a short fold. What a block does to the baseline is a rising map of straight branches, each for a
+range of incoming values (``branches.py``). All blocks' maps are made at once, for a range around an estimate. Maps of
+neighbours are composed, first within groups of ``GROUP`` blocks, then along the groups of a log; reading the known
+first value through them gives every block its true ``r_in``. A block does not wait for the one before it to be settled: its map holds for
+whatever enters, as long as that is among its branches. Only blocks whose branches the true value misses are taken again, around it.
+The first such block of a log has its true value already, so every round settles at least one more block and the end
+result is the sequential one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import text
-from tidemark.operators import blocks
+from tidemark.operators import blocks, branches
 from tidemark.operators.blocks import BLOCK
 from tidemark.settings import Settings
 from tidemark.workspace import Workspace
@@ -27,9 +31,13 @@ FLOOR = 3.0
 
 # Stamps cross into pandas as text: its nanosecond clock does not reach every year a log can name.
 FORGERIES = "source STRING, line_number BIGINT, ts STRING, entropy DOUBLE, baseline DOUBLE, raw_text STRING"
-SUMMARY = (
-    "source STRING, _blk BIGINT, n_in BIGINT, n_rows BIGINT, r_in DOUBLE, slope DOUBLE, shift DOUBLE, low DOUBLE, high DOUBLE"
-)
+# Blocks whose maps are composed in one task, and branches that a block's and a group's map keep.
+GROUP = 512
+BRANCHES, GROUP_BRANCHES = 64, 4096
+# How far around the estimate a map reaches: a share of it and a constant.
+REACH, AROUND = 0.25, 0.25
+MAPS = "source STRING, _blk BIGINT, _group BIGINT, n_in BIGINT, n_rows BIGINT, r_in DOUBLE, map ARRAY<DOUBLE>"
+STATES = "source STRING, _blk BIGINT, n_in BIGINT, r_in DOUBLE, n_out BIGINT, r_out DOUBLE, unsettled BOOLEAN"
 
 
 def measured(events: DataFrame) -> DataFrame:
@@ -46,34 +54,19 @@ def measured(events: DataFrame) -> DataFrame:
 
 
 def _fold():
-    """The fold over one block: (entropies, lengths, n, r) to flags, baselines and the block's line and range."""
+    """The fold over one block: (entropies, lengths, n, r) to flags, the baseline at each event and the one they end with."""
     warm_up, min_chars, share, floor = WARM_UP, MIN_CHARS, SHARE, FLOOR
 
     def fold(entropies, lengths, n, r):
         flags, levels = [], []
-        slope, shift, low, high = 1.0, 0.0, float("-inf"), float("inf")
         for e, chars in zip(entropies, lengths):
             levels.append(r)
-            forged = False
-            if n > warm_up and chars > min_chars:
-                if e < floor:
-                    forged = True
-                else:
-                    forged = e < r * share
-                    if slope > 0.0:
-                        # The incoming baseline at which this decision would turn.
-                        turn = (e / share - shift) / slope
-                        if forged:
-                            low = max(low, turn)
-                        else:
-                            high = min(high, turn)
+            forged = n > warm_up and chars > min_chars and (e < floor or e < r * share)
             if not forged:
                 r = (r * n + e) / (n + 1)
-                slope = slope * n / (n + 1)
-                shift = (shift * n + e) / (n + 1)
             flags.append(forged)
             n += 1
-        return flags, levels, slope, shift, low, high, r
+        return flags, levels, r
 
     return fold
 
@@ -87,7 +80,7 @@ def _forgeries_of_block():
         import pyarrow.compute as pc
 
         table = table.take(pc.sort_indices(table["line_number"]))
-        flags, levels, *_, r_out = fold(table["entropy"].to_pylist(), table["chars"].to_pylist(), n, r)
+        flags, levels, r_out = fold(table["entropy"].to_pylist(), table["chars"].to_pylist(), n, r)
         forged = [i for i, flag in enumerate(flags) if flag]
         found = table.select(["source", "line_number", "ts", "entropy"]).take(pa.array(forged, pa.int64()))
         found = found.append_column("baseline", pa.array([levels[i] for i in forged], pa.float64()))
@@ -110,10 +103,12 @@ def collapse_and_state(
     workspace: Workspace,
     initial: DataFrame | None = None,
     want_state: bool = True,
+    on_round: Callable[[int], None] | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Forgeries and, if asked for, the baseline (source, n, r) that each log ends with.
 
-    ``initial`` (source, n, r) continues baselines of earlier events; a log without a row starts afresh.
+    ``initial`` (source, n, r) continues baselines of earlier events; a log without a row starts afresh. ``on_round`` is
+    told after each round over all blocks how many are left to settle.
     """
     rows = blocks.with_block(measured(events), "line_number", settings.block_lines)
     if initial is None and not want_state and not _any_log_beyond_one_block(events, settings):
@@ -127,17 +122,21 @@ def collapse_and_state(
     rows = workspace.keep(rows, "entropy")
     if _longest_run(rows) <= settings.block_lines:
         return _short_runs(rows, initial, workspace)
-    estimates = workspace.keep(_first_estimates(rows, initial), "estimates")
-    summaries = _summaries(rows, estimates)
+    maps = _maps(rows, workspace.keep(_first_estimates(rows, initial), "estimates"))
+    guesses = None
     while True:
-        summaries = workspace.keep(summaries, "summaries")
-        states = workspace.keep(_compose(summaries), "states")
+        maps = workspace.keep(maps, "maps")
+        states, groups = _states(maps, guesses, workspace)
         unsettled = states.filter("unsettled")
-        if unsettled.isEmpty():
+        left = unsettled.count()
+        if on_round is not None:
+            on_round(left)
+        if not left and (groups is None or groups.filter("not known").isEmpty()):
             break
+        guesses = states
         again = unsettled.select("source", BLOCK, "n_in", "r_in")
-        redone = _summaries(rows.join(again.select("source", BLOCK), ["source", BLOCK], "left_semi"), again)
-        summaries = summaries.join(again.select("source", BLOCK), ["source", BLOCK], "left_anti").unionByName(redone)
+        redone = _maps(rows.join(again.select("source", BLOCK), ["source", BLOCK], "left_semi"), again)
+        maps = maps.join(again.select("source", BLOCK), ["source", BLOCK], "left_anti").unionByName(redone)
     found = _stamped(_forgeries(rows, states))
     state = None
     if want_state:
@@ -212,51 +211,127 @@ def _first_estimates(rows: DataFrame, initial: DataFrame | None) -> DataFrame:
     ).filter(F.col(BLOCK) >= 0)
 
 
-def _summaries(rows: DataFrame, starts: DataFrame) -> DataFrame:
-    fold = _fold()
+def _maps(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """Each block's map around the estimate in ``starts``."""
+    warm_up, min_chars, share, floor, limit, reach, around, group = WARM_UP, MIN_CHARS, SHARE, FLOOR, BRANCHES, REACH, AROUND, GROUP
 
-    def summary(table, start):
+    def mapped(table, start):
+        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        names = ["source", "_blk", "n_in", "n_rows", "r_in", "slope", "shift", "low", "high"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()] + [pa.float64()] * 5
+        names = ["source", "_blk", "_group", "n_in", "n_rows", "r_in", "map"]
+        kinds = [pa.string(), *[pa.int64()] * 4, pa.float64(), pa.list_(pa.float64())]
         out = []
         if table.num_rows and start.num_rows:
             table = table.take(pc.sort_indices(table["line_number"]))
             n, r = start["n_in"][0].as_py(), start["r_in"][0].as_py()
-            flags, _, *line, _ = fold(table["entropy"].to_pylist(), table["chars"].to_pylist(), n, r)
-            out = [(table["source"][0].as_py(), table["_blk"][0].as_py(), n, len(flags), r, *line)]
+            entropies, chars = table["entropy"].to_numpy(), table["chars"].to_numpy()
+            judged = (n + np.arange(len(entropies)) > warm_up) & (chars > min_chars)
+            found = branches.of_block(entropies, judged, n, r * (1 - reach) - around, r * (1 + reach) + around, r, limit, share, floor)
+            block = table["_blk"][0].as_py()
+            out = [(table["source"][0].as_py(), block, block // group, n, len(entropies), r, found.ravel().tolist())]
         return pa.table([pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)], names=names)
 
     narrow = rows.select("source", BLOCK, "line_number", "entropy", "chars")
-    return (
-        narrow.groupBy("source", BLOCK)
-        .cogroup(starts.groupBy("source", BLOCK))
-        .applyInArrow(summary, SUMMARY)
+    return narrow.groupBy("source", BLOCK).cogroup(starts.groupBy("source", BLOCK)).applyInArrow(mapped, MAPS)
+
+
+def _states(maps: DataFrame, guesses: DataFrame | None, workspace: Workspace) -> tuple[DataFrame, DataFrame | None]:
+    """Per block the baseline it starts and ends with, and whether its map misses it; and per group of a log with several
+    the baseline it starts with, and whether the map of the group before knew it."""
+    # A log's first block starts from its known baseline, which is what its map was made around.
+    group = ["source", "_group"]
+    first = maps.groupBy(*group).agg(F.min(BLOCK).alias(BLOCK), F.min_by("r_in", BLOCK).alias("r_in"))
+    if guesses is not None:
+        # The last round's value is closer than the one the map was made around.
+        later = guesses.select("source", BLOCK, F.col("r_in").alias("_later"))
+        first = first.join(later, ["source", BLOCK], "left").withColumn("r_in", F.coalesce("_later", "r_in"))
+    # A table of its own: it meets the maps that it was made from.
+    starts = workspace.keep(first.drop(BLOCK), "starts")
+    several = starts.groupBy("source").agg(F.count("*").alias("groups")).filter("groups > 1")
+    if several.isEmpty():
+        return workspace.keep(_walked(maps, starts), "states"), None
+    chained = maps.join(several.select("source"), "source", "left_semi")
+    begun = starts.join(several.select("source"), "source", "left_semi")
+    composed = chained.groupBy(*group).cogroup(begun.groupBy(*group)).applyInArrow(_compose_group(), f"{MAPS}, leads DOUBLE")
+    groups = workspace.keep(
+        composed.groupBy("source").applyInArrow(_chain_groups(), "source STRING, _group BIGINT, r_in DOUBLE, known BOOLEAN"), "groups"
     )
+    true = groups.select(*group, F.col("r_in").alias("_true"))
+    starts = starts.join(true, group, "left").select(*group, F.coalesce("_true", "r_in").alias("r_in"))
+    return workspace.keep(_walked(maps, starts), "states"), groups
 
 
-def _compose(summaries: DataFrame) -> DataFrame:
-    """Chain the blocks of each log: one row per block goes in, so a log's chain is short."""
+def _in_order(table):
+    import numpy as np
+    import pyarrow.compute as pc
 
-    def chain(frame):
-        import pandas as pd
+    table = table.take(pc.sort_indices(table["_blk"]))
+    return table, [np.array(m, float).reshape(-1, 4) for m in table["map"].to_pylist()]
 
-        frame = frame.sort_values("_blk")
-        out, r = [], None
-        for row in frame.itertuples(index=False):
-            source, block, n_in, n_rows, guess, slope, shift, low, high = row
-            # A log's first block starts from its known baseline, which is what it was folded from.
-            r_in = guess if r is None else r
-            r = slope * r_in + shift
-            settled = r_in == guess or low < r_in <= high
-            out.append((source, block, n_in, r_in, n_in + n_rows, r, not settled))
-        return pd.DataFrame(out, columns=["source", "_blk", "n_in", "r_in", "n_out", "r_out", "unsettled"])
 
-    return summaries.groupBy("source").applyInPandas(
-        chain, "source STRING, _blk BIGINT, n_in BIGINT, r_in DOUBLE, n_out BIGINT, r_out DOUBLE, unsettled BOOLEAN"
-    )
+def _compose_group():
+    limit = GROUP_BRANCHES
+
+    def compose(table, start):
+        import pyarrow as pa
+
+        table, maps = _in_order(table)
+        r = leads = start["r_in"][0].as_py()
+        whole = maps[0]
+        for n, one in enumerate(maps):
+            leads = branches.applied(one, leads)[0]
+            whole = one if n == 0 else branches.nearest(branches.composed(whole, one), r, limit)
+        row = table.slice(0, 1).drop_columns(["map", "r_in"])
+        row = row.append_column("r_in", pa.array([r])).append_column("map", pa.array([whole.ravel().tolist()], pa.list_(pa.float64())))
+        return row.append_column("leads", pa.array([leads])).select([*table.column_names, "leads"])
+
+    return compose
+
+
+def _chain_groups():
+    def chain(table):
+        import pyarrow as pa
+
+        leads = dict(zip(table["_blk"].to_pylist(), table["leads"].to_pylist()))
+        table, maps = _in_order(table)
+        r, known, at, knew = table["r_in"][0].as_py(), True, [], []
+        for block, one in zip(table["_blk"].to_pylist(), maps):
+            at.append(r)
+            knew.append(known)
+            out, known = branches.applied(one, r)
+            r = out if known else leads[block]
+        kinds = [("r_in", at, pa.float64()), ("known", knew, pa.bool_())]
+        out = table.select(["source", "_group"])
+        for name, values, kind in kinds:
+            out = out.append_column(name, pa.array(values, kind))
+        return out
+
+    return chain
+
+
+def _walked(maps: DataFrame, starts: DataFrame) -> DataFrame:
+    """Read each group's first baseline through the maps of its blocks."""
+    def walk(table, start):
+        import pyarrow as pa
+
+        table, maps = _in_order(table)
+        r = start["r_in"][0].as_py()
+        r_in, r_out, missed = [], [], []
+        for one in maps:
+            r_in.append(r)
+            r, known = branches.applied(one, r)
+            r_out.append(r)
+            missed.append(not known)
+        n_out = [n + rows for n, rows in zip(table["n_in"].to_pylist(), table["n_rows"].to_pylist())]
+        out = table.select(["source", "_blk", "n_in"])
+        columns = {"r_in": (r_in, pa.float64()), "n_out": (n_out, pa.int64()), "r_out": (r_out, pa.float64()), "unsettled": (missed, pa.bool_())}
+        for name, (values, kind) in columns.items():
+            out = out.append_column(name, pa.array(values, kind))
+        return out
+
+    return maps.groupBy("source", "_group").cogroup(starts.groupBy("source", "_group")).applyInArrow(walk, STATES)
 
 
 def _forgeries(rows: DataFrame, states: DataFrame) -> DataFrame:
