@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from tidemark import BusinessHours, Settings, Workspace
-from tidemark.operators import alerts, alibi, baseline, blocks, medians, narrative, scoring, sequence
+from tidemark.operators import alerts, alibi, baseline, blocks, medians, narrative, scoring, sequence, timeline
 
 T0 = datetime(2024, 1, 1)
 EVENTS = "source STRING, line_number BIGINT, ts TIMESTAMP_NTZ"
@@ -107,19 +107,19 @@ GAPS = (
 )
 
 
-@pytest.mark.parametrize("bin_seconds", [1, 60, 100_000])
-def test_alibi_counts_equal_brute_force(spark, bin_seconds):
-    rng = random.Random(bin_seconds)
+@pytest.mark.parametrize("block_lines", [7, 60, 100_000])
+def test_alibi_counts_equal_brute_force(spark, block_lines):
+    rng = random.Random(block_lines)
     rows = gap_rows(rng, 120)
     # Many events share one instant, and some stand exactly on the ends of gaps.
     stamps = [T0 + timedelta(seconds=rng.randrange(60_000)) for _ in range(500)] + [rows[0][1]] * 40 + [r[2] for r in rows[:30]]
     gaps = spark.createDataFrame(rows, GAPS)
     secondary = spark.createDataFrame([(s,) for s in stamps], "ts TIMESTAMP_NTZ")
-    counted = alibi.cross_check(gaps, [secondary], Settings(bin_seconds=bin_seconds)).collect()
+    counted = alibi.cross_check(gaps, [secondary], Settings(block_lines=block_lines)).collect()
     assert len(counted) == len(rows)
     for row in counted:
         assert row.alibi_evidence_count == sum(row.start_time < s < row.end_time for s in stamps)
-    twice = alibi.cross_check(gaps, [secondary, secondary], Settings(bin_seconds=bin_seconds))
+    twice = alibi.cross_check(gaps, [secondary, secondary], Settings(block_lines=block_lines))
     assert twice.agg(F.sum("alibi_evidence_count")).first()[0] == 2 * sum(r.alibi_evidence_count for r in counted)
     assert alibi.cross_check(gaps, [], Settings()).agg(F.sum("alibi_evidence_count")).first()[0] == 0
 
@@ -135,21 +135,50 @@ def test_alibi_within_a_shared_key(spark):
         assert row.alibi_evidence_count == sum(s == row.source and row.start_time < ts < row.end_time for s, ts in other)
 
 
-@pytest.mark.parametrize("bin_seconds", [1, 3600])
-def test_safe_spans_equal_brute_force(spark, bin_seconds):
+@pytest.mark.parametrize("block_lines", [7, 3600])
+def test_safe_spans_equal_brute_force(spark, block_lines):
     rng = random.Random(3)
     rows = gap_rows(rng, 150)
     spans = [(s := T0 + timedelta(seconds=rng.randrange(50_000)), s + timedelta(seconds=rng.randrange(2_000))) for _ in range(40)]
     spans += [(rows[0][1], rows[0][2])]
     left = sequence.without_safe_spans(
         spark.createDataFrame(rows, GAPS), spark.createDataFrame(spans, "safe_start TIMESTAMP_NTZ, safe_end TIMESTAMP_NTZ"),
-        Settings(bin_seconds=bin_seconds),
+        Settings(block_lines=block_lines),
     )
     wanted = [r for r in rows if not any(a <= r[1] and r[2] <= b for a, b in spans)]
     assert 0 < len(wanted) < len(rows)
     assert sorted(map(tuple, left.collect())) == sorted(wanted)
 
 
+def test_blocks_follow_the_rows_and_not_the_clock(spark):
+    """A crowded minute and ten sparse years on one line: no block beyond its size, and the order kept."""
+    crowded, sparse = F.lit(1_700_000_000_000_000) + F.col("id") * 600, F.col("id") * 3_155_000_000
+    line = spark.range(100_000).select(crowded.alias("_at")).unionByName(spark.range(100_000).select(sparse.alias("_at"))).distinct()
+    settings = Settings(block_lines=5_000)
+    cut = timeline.placed(line.withColumn("_turn", F.lit(1)), [], ["_at", "_turn"], settings, Workspace(spark))
+    sizes = cut.groupBy("_blk").agg(F.count("*").alias("n"), F.min("_at").alias("low"), F.max("_at").alias("high")).orderBy("_blk").collect()
+    assert len(sizes) > 40 and max(r.n for r in sizes) <= 5_000
+    assert all(a.high < b.low for a, b in zip(sizes, sizes[1:]))
+    totals = timeline.running(
+        line.withColumns({"_turn": F.lit(1), "one": F.lit(1).cast("bigint")}), [], ["_at", "_turn"], "one", "upto", "sum", settings, Workspace(spark)
+    )
+    assert totals.agg(F.max("upto"), F.count_distinct("upto")).first() == (line.count(), line.count())
+
+
+def test_gaps_that_end_together_are_dealt_out(spark):
+    """A fleet that resumes at one instant: its gaps read their totals in many tasks, the others in as many as there are."""
+    gaps = spark.range(40_000).select(
+        F.concat(F.lit("s"), F.col("id")).alias("source"), F.lit(7).cast("bigint").alias("at"), F.col("id").alias("end_line")
+    ).unionByName(spark.createDataFrame([("x", None, 1), ("y", 8, 2), ("z", 9, 3)], "source STRING, at BIGINT, end_line BIGINT"))
+    values = spark.createDataFrame([(7, 70), (None, 0), (8, 80)], "key BIGINT, value BIGINT")
+    read = timeline.read_off(gaps, {"at": "key"}, values, ["source", "end_line"])
+    assert read.columns == ["source", "at", "end_line", "value"]
+    counts = {(r.at, r.value): r["count"] for r in read.groupBy("at", "value").count().collect()}
+    assert counts == {(7, 70): 40_000, (None, 0): 1, (8, 80): 1}
+    salts = gaps.groupBy("at", F.pmod(F.xxhash64("source", "end_line"), F.lit(timeline.SALTS))).count().agg(F.max("count")).first()[0]
+    assert salts < 300
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_medians_equal_statistics(spark, seed):
     rng = random.Random(seed)

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import time as t
-from tidemark.operators import blocks
+from tidemark.operators import blocks, timeline
 from tidemark.settings import Settings
+from tidemark.workspace import Workspace
 
 MICROS = t.MICROS
 
@@ -116,23 +117,24 @@ def log_extent(events: DataFrame) -> DataFrame:
     ).withColumn("span_us", t.micros_between(F.col("file_start"), F.col("file_end")))
 
 
-def without_safe_spans(gaps_df: DataFrame, safe: DataFrame, settings: Settings) -> DataFrame:
+def without_safe_spans(
+    gaps_df: DataFrame, safe: DataFrame, settings: Settings, workspace: Workspace | None = None
+) -> DataFrame:
     """Drop the gaps that lie within one of the intervals of the table ``safe`` (safe_start, safe_end).
 
     A gap is covered exactly when the latest end among the intervals that start no later than it reaches its own end.
     That is a running maximum along time, so neither table is broadcast and no pairs are formed.
     """
-    width = settings.bin_seconds * MICROS
+    space = workspace or Workspace(gaps_df.sparkSession)
     spans = safe.groupBy(t.epoch_micros(F.col("safe_start")).alias("_at")).agg(
         F.max(t.epoch_micros(F.col("safe_end"))).alias("_safe_end")
-    ).select("_at", "_safe_end", F.lit(0).alias("_turn"))
+    ).select("_at", "_safe_end", F.lit(0).alias("_turn")).filter(F.col("_at").isNotNull())
     # Gaps that start at one instant are asked for once, and read the answer by the instant.
     gaps = gaps_df.withColumn("_start", t.epoch_micros(F.col("start_time")))
     asked = gaps.select(F.col("_start").alias("_at"), F.lit(1).alias("_turn")).distinct()
-    line = spans.unionByName(asked, allowMissingColumns=True).withColumn("_all", F.lit(0))
-    reach = blocks.running(
-        blocks.with_block(line, "_at", width), ["_all"], [F.col("_at"), F.col("_turn")], F.col("_safe_end"), "_reach", "max"
-    )
-    reach = reach.filter(F.col("_turn") == 1).select(F.col("_at").alias("_start"), "_reach")
+    line = spans.unionByName(asked, allowMissingColumns=True)
+    reach = timeline.running(line, [], ["_at", "_turn"], "_safe_end", "_reach", "max", settings, space)
+    reach = reach.filter(F.col("_turn") == 1).select(F.col("_at").alias("_asked"), "_reach")
     covered = F.coalesce(F.col("_reach") >= t.epoch_micros(F.col("end_time")), F.lit(False))
-    return gaps.join(reach, "_start").filter(~covered).select(*gaps_df.columns)
+    read = timeline.read_off(gaps, {"_start": "_asked"}, reach, ["source", "end_line"])
+    return read.filter(~covered).select(*gaps_df.columns)

@@ -61,7 +61,7 @@ class Findings:
         if not self.secondary or found.isEmpty():
             return alibi.cross_check(found, [], self.settings)
         secondary = [stamps_of() for stamps_of in self.secondary]
-        return self.workspace.keep(alibi.cross_check(found, secondary, self.settings), "gaps")
+        return self.workspace.keep(alibi.cross_check(found, secondary, self.settings, self.workspace), "gaps")
 
     @cached_property
     def causality(self) -> DataFrame:

@@ -59,10 +59,8 @@ class Settings:
     suspicious_events: tuple[str, ...] = DEFAULT_SUSPICIOUS_EVENTS
     # Year given to stamps that carry none; None means the current one.
     default_year: int | None = None
-    # Lines per block: the largest run of one log that a single task orders (see operators/blocks.py).
+    # Lines per block: the largest run of one log, or of one time line, that a single task orders (see operators/blocks.py).
     block_lines: int = 262_144
-    # Width of the time bins that play the same part for questions asked by event time.
-    bin_seconds: int = 60
     # Rows per part of a text or array that grows with the findings of one log.
     part_rows: int = 10_000
 
@@ -70,7 +68,7 @@ class Settings:
         for name in ("timestamp_formats", "suspicious_events"):
             object.__setattr__(self, name, tuple(getattr(self, name)))
         object.__setattr__(self, "safe_intervals", tuple(tuple(pair) for pair in self.safe_intervals))
-        for name in ("block_lines", "bin_seconds", "part_rows"):
+        for name in ("block_lines", "part_rows"):
             if getattr(self, name) < 1:
                 raise SettingsError(f"{name} must be at least 1")
 
