@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm import language, quality, toxicity
+from tidemark.llm import language, logistic, quality, toxicity
 from tidemark.workspace import Workspace
 
 SYLLABLES = {"aa": "ka lo mi tu re sa".split(), "bb": "wen dok brü schl fen orst".split(), "cc": "ção nha que dos es ia".split()}
@@ -58,7 +58,7 @@ def test_quality(spark, rng):
     labels = spark.createDataFrame(
         [(i, 1) for i, *_ in good[::2]] + [(i, 0) for i, *_ in bad[::2]] + [(None, 1), (0, 1), (2, None)], "doc_id bigint, quality int"
     )
-    scored = quality.score(docs, quality.fit(docs, labels)).collect()
+    scored = quality.score(docs, quality.fit(docs, labels, Workspace(spark))).collect()
     assert len(scored) == len(rows)
     verdict = {r.row.doc_id: r.score >= 0.5 for r in scored}
     assert np.mean([verdict[i] for i, *_ in good[1::2]]) > 0.97 and np.mean([verdict[i] for i, *_ in bad[1::2]]) < 0.05
@@ -70,21 +70,59 @@ def test_quality(spark, rng):
     assert quality.accepted(docs.limit(0), labels).count() == 0
 
 
-def test_views_teach_each_other():
-    """Labels that one view cannot tell apart; it learns the classes from the other's pseudo-labels."""
+@pytest.mark.parametrize("labels, real, noise, idle, least", [(80, 0.4, 0.3, 0, 0.7), (24, 0.6, 0.5, 8, 0.62)])
+def test_views_teach_each_other(labels, real, noise, idle, least):
+    """Labels of which one view can make little; it learns the classes from the other's pseudo-labels."""
     rng = np.random.default_rng(2)
-    y = np.array([0.0, 1.0] * 40)
-    pool = np.array([0.0, 1.0] * 400)
+    y, pool_y = np.array([0.0, 1.0] * (labels // 2)), np.array([0.0, 1.0] * 400)
     strong = lambda labels: labels[:, None] * 4 + rng.normal(0, 0.5, (len(labels), 2))
-    weak = lambda labels, real: (labels[:, None] * real + rng.normal(0, 0.3, (len(labels), 2)))
-    held = np.arange(80) % 4 == 3
-    held[::8] = True
-    taught = quality.co_train(strong(y), weak(y, 0.4), y, held, strong(pool), weak(pool, 0.4))
-    alone = quality.co_train(strong(y), weak(y, 0.4), y, held, strong(pool)[:0], weak(pool, 0.4)[:0])
-    fresh = np.array([0.0, 1.0] * 500)
-    x = weak(fresh, 0.4)
-    right = lambda m: np.mean((m.metadata.margin(x) > np.median(m.metadata.margin(x))) == (fresh > 0))
-    assert right(taught) >= right(alone) - 0.01 and right(taught) > 0.7
+    weak = lambda labels: np.hstack([labels[:, None] * real + rng.normal(0, noise, (len(labels), 2)), rng.normal(0, 1, (len(labels), idle))])
+    held = np.arange(labels) % 4 > 1
+    x, others = (strong(y), weak(y)), {"text": strong(pool_y), "metadata": weak(pool_y)}
+    nobody = {name: v[:0] for name, v in others.items()}
+    taught = quality.co_train(*x, y, held, lambda turn: turn.sums(others))
+    alone = quality.co_train(*x, y, held, lambda turn: turn.sums(nobody))
+    fresh = np.array([0.0, 1.0] * 2000)
+    seen = weak(fresh)
+    right = lambda m: np.mean((m.metadata.margin(seen) > np.median(m.metadata.margin(seen))) == (fresh > 0))
+    assert right(taught) >= right(alone) - 0.01 and right(taught) > least
+
+
+def test_newton_sums_of_parts_give_the_regression():
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 2, (400, 3))
+    y = (x[:, 0] + rng.normal(0, 1, 400) > 0).astype(float)
+    view = quality.View(x.mean(axis=0), x.std(axis=0), np.zeros(4))
+    for _ in range(20):
+        view.step(sum(view.sums(x[k::7], y[k::7]) for k in range(7)))
+    assert np.allclose(view.beta, logistic.fit(view.standard(x), y), atol=1e-6)
+
+
+def test_every_unlabelled_row_teaches(spark, monkeypatch):
+    """The sums that Spark makes equal those over all rows at once; one id of many rows and copies of a text included."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, "aa"), f"s{i % 5}", 1) for i in range(60)] + [(100 + i, "SPAM!! " * 30, f"s{i % 5}", 0) for i in range(60)]
+    hot = [(7, prose(rng, "aa", 10), "hot") for _ in range(300)] + [(7, "same text", "hot")] * 300
+    free = [(None if i % 9 == 0 else 1000 + i, prose(rng, "bb", 30), f"s{i % 3}") for i in range(500)]
+    docs = spark.createDataFrame([(i, t, "aa", s, len(t)) for i, t, s, *_ in [*rows, *hot, *free]], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(6)
+    labels = spark.createDataFrame([(i, q) for i, _, _, q in rows if i != 7] + [(7, 1)], "doc_id bigint, quality int")
+    seen = []
+    learn = quality.co_train
+
+    def watched(text, metadata, y, held, pool, **more):
+        def both(turn):
+            found = pool(turn)
+            x = {"text": np.array([quality.text_features(t) for _, t, _ in free], np.float32).astype(float),
+                 "metadata": np.array([quality.metadata_features(s, "aa", len(t)) for _, t, s in free], np.float32).astype(float)}
+            seen.append(np.allclose(found, turn.sums(x), rtol=1e-6, atol=1e-6))
+            return found
+
+        seen.append(len(y))
+        return learn(text, metadata, y, held, both, **more)
+
+    monkeypatch.setattr(quality, "co_train", watched)
+    quality.fit(docs, labels, Workspace(spark), labelled_rows=200)
+    assert seen[0] <= 300 and seen[1:] == [True] * quality.ROUNDS * quality.STEPS
 
 
 def plain_segments(scores):

@@ -1,12 +1,13 @@
 """Quality by co-training: a classifier of the text and one of the page's metadata teach each other.
 
-Both start from the same labelled documents. In every round each scores a pool of unlabelled documents, and those of
-which it is sure become labelled documents of the other one. Each view is then calibrated on labelled documents kept
-apart, a last regression weighs the calibrated views against each other, and all documents are scored in one pass
-without a shuffle.
-
-The text's features are read from the whole text. Fitting uses a sample of labelled rows and a pool whose sizes are
-parameters; scoring covers every document.
+Both start from the same labelled documents. In every round each view scores all documents without a label, and those
+of which it is sure teach the other view in that round; their classes weigh no more than the labelled documents do. The
+regressions are fitted by Newton steps whose sums Spark makes over the whole table, per class, from narrow stored features: what reaches
+the driver is as large as the number of features squared, and no unlabelled row is sampled or left out. Each view is
+then calibrated on labelled documents kept apart, a last regression weighs the calibrated views against each other, and
+all documents are scored in one pass without a shuffle.
+
+The text's features are read from the whole text. Only the labelled rows that are learnt from are bounded in number, by a parameter.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
@@ -24,14 +25,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import logistic
 from tidemark.llm.common import labelled, sampled
+from tidemark.workspace import Workspace
 
-#: About so many labelled documents are learnt from, and so many others form the pool.
+#: About so many labelled documents are learnt from.
 LABELLED_ROWS = 20_000
-POOL_ROWS = 20_000
-#: Rounds of exchange; a pseudo-label needs this probability, and a round passes on at most so many of either class.
-ROUNDS = 4
+#: Rounds of exchange, Newton steps in each, and the probability that a pseudo-label needs.
+ROUNDS = 3
+STEPS = 2
 CONFIDENCE = 0.97
-PER_ROUND = 1_000
 #: Documents scoring less are rejected.
 THRESHOLD = 0.5
 #: Buckets for source and for language.
@@ -110,9 +111,27 @@ class View:
         beta = logistic.fit(self.margin(x)[:, None], y, ridge=0.1)
         self.slope, self.shift = max(0.0, float(beta[0])), float(beta[1])
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -10, 10)
+
     def margin(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -10, 10)
-        return np.clip(self.slope * logistic.margin(z, self.beta) + self.shift, -15, 15)
+        return np.clip(self.slope * logistic.margin(self.standard(x), self.beta) + self.shift, -15, 15)
+
+    def sums(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """What a Newton step needs of these rows: their number, gradient and curvature, in one array."""
+        full = logistic.with_constant(self.standard(x))
+        p = logistic.probability(full @ self.beta)
+        curvature = (full * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ full
+        return np.concatenate([[len(y)], full.T @ (p - y), curvature.ravel()])
+
+    def step(self, sums: np.ndarray, ridge: float = 1.0) -> None:
+        """Move by one Newton step, no further than a standardized unit or five."""
+        size = len(self.beta)
+        penalty = np.full(size, ridge)
+        penalty[-1] = 1e-6
+        gradient = sums[1:size + 1] + penalty * self.beta
+        move = np.linalg.solve(sums[size + 1:].reshape(size, size) + np.diag(penalty), gradient)
+        self.beta = self.beta - move * min(1.0, 5.0 / max(float(np.abs(move).max()), 1e-12))
 
 
 @dataclass
@@ -133,38 +152,58 @@ class Model:
         return logistic.probability(a), logistic.probability(b), logistic.probability(both)
 
 
+@dataclass
+class Turn:
+    """Within a round: the views as they learn, and as they stood when it began, which is how they teach."""
+
+    learn: dict[str, View]
+    teach: dict[str, View]
+
+    def sums(self, x: dict[str, np.ndarray], confidence: float = CONFIDENCE) -> np.ndarray:
+        """Of rows without label: for each view, and there for each class, the sums of those that the other view is sure of."""
+        out = []
+        for name, other in (("text", "metadata"), ("metadata", "text")):
+            p = logistic.probability(self.teach[other].margin(x[other]))
+            for label, sure in ((0.0, p <= 1 - confidence), (1.0, p >= confidence)):
+                out.append(self.learn[name].sums(x[name][sure], np.full(int(sure.sum()), label)))
+        return np.concatenate(out)
+
+
 def co_train(
-    text: np.ndarray, metadata: np.ndarray, y: np.ndarray, held: np.ndarray, pool_text: np.ndarray, pool_metadata: np.ndarray,
-    rounds: int = ROUNDS, confidence: float = CONFIDENCE, per_round: int = PER_ROUND,
+    text: np.ndarray, metadata: np.ndarray, y: np.ndarray, held: np.ndarray, pool: Callable[[Turn], np.ndarray],
+    rounds: int = ROUNDS, steps: int = STEPS,
 ) -> Model:
-    """Fit both views. ``held`` marks labelled rows that only calibrate; ``y`` is 0 or 1."""
+    """Fit both views. ``held`` marks labelled rows that only calibrate; ``y`` is 0 or 1.
+
+    ``pool`` gives ``Turn.sums`` over all rows without label.
+    """
     base = float(y.mean()) if len(y) else 1.0
     held = held if 0 < y[held].sum() < held.sum() else np.zeros(len(y), bool)
     fit_y, check = y[~held], held if held.any() else ~held
     if not 0 < fit_y.sum() < len(fit_y):
         return Model(base)
-    sides = {"text": (text, pool_text), "metadata": (metadata, pool_metadata)}
-    taught: dict[str, tuple[np.ndarray, np.ndarray]] = {
-        name: (np.zeros(0, int), np.zeros(0)) for name in sides
-    }
-    views: dict[str, View] = {}
-    for turn in range(rounds + 1):
-        for name, (x, pool) in sides.items():
-            rows, labels = taught[name]
-            views[name] = View.fitted(np.vstack([x[~held], pool[rows]]), np.concatenate([fit_y, labels]))
+    sides = {"text": text, "metadata": metadata}
+    views = {name: View.fitted(x[~held], fit_y) for name, x in sides.items()}
+    most = np.array([len(fit_y) - fit_y.sum(), fit_y.sum()])
+    for _ in range(rounds):
+        for name, x in sides.items():
             views[name].calibrate(x[check], y[check])
-        if turn == rounds or not len(pool_text):
-            break
-        for name, other in (("text", "metadata"), ("metadata", "text")):
-            p = logistic.probability(views[name].margin(sides[name][1]))
-            used = np.isin(np.arange(len(p)), taught[other][0])
-            sure = []
-            for label, certainty in ((1.0, p), (0.0, 1 - p)):
-                able = np.nonzero((certainty >= confidence) & ~used)[0]
-                best = able[np.argsort(-certainty[able], kind="stable")[:per_round]]
-                sure.append((best, np.full(len(best), label)))
-            taught[other] = tuple(np.concatenate([taught[other][i], *[s[i] for s in sure]]) for i in (0, 1))
-            taught[other] = (taught[other][0].astype(int), taught[other][1])
+        # Who is sure of what holds for the round; the learners move within it.
+        teachers = {name: replace(view) for name, view in views.items()}
+        for _ in range(steps):
+            found = pool(Turn(views, teachers))
+            at = 0
+            for name, x in sides.items():
+                size = len(views[name].beta)
+                width = 1 + size + size * size
+                total = views[name].sums(x[~held], fit_y)
+                for label in (0, 1):
+                    part, at = found[at:at + width], at + width
+                    # Pseudo-labels of a class weigh as much as its labelled rows at most.
+                    total = total + part * min(1.0, most[label] / max(part[0], 1.0))
+                views[name].step(total)
+    for name, x in sides.items():
+        views[name].calibrate(x[check], y[check])
     margins = np.stack([views["text"].margin(text[check]), views["metadata"].margin(metadata[check])], axis=1)
     return Model(base, views["text"], views["metadata"], logistic.fit(margins, y[check], ridge=0.1))
 
@@ -176,16 +215,16 @@ def _features(rows: DataFrame, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, metadata = _views(batch)
-            arrays = [pa.array([row.tobytes() for row in v], pa.binary()) for v in (text, metadata)]
+            arrays = [pa.array([row.tobytes() for row in v.astype(np.float32)], pa.binary()) for v in (text, metadata)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *arrays], names=[*keep, "text_x", "metadata_x"])
 
     return rows.mapInArrow(run, f"{kept}, text_x binary, metadata_x binary")
 
 
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    text = np.array([text_features(t.as_py()) for t in batch.column("text")])
+    text = np.array([text_features(t.as_py()) for t in batch.column("text")], np.float32).astype(float)
     others = zip(*[batch.column(c) for c in ("source", "lang", "n_chars")])
-    metadata = np.array([metadata_features(s.as_py(), g.as_py(), n.as_py()) for s, g, n in others])
+    metadata = np.array([metadata_features(s.as_py(), g.as_py(), n.as_py()) for s, g, n in others], np.float32).astype(float)
     return text, metadata
 
 
@@ -194,21 +233,42 @@ def _inputs(docs: DataFrame) -> list:
             F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("double").alias("n_chars")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> Model:
-    """Learn from ``labels`` (doc_id, quality). Only the samples' features, of bounded number, reach the driver."""
-    known = sampled(labelled(labels, "quality"), "doc_id", labelled_rows)
-    rows = docs.select("doc_id", *_inputs(docs))
-    # About ``labelled_rows`` rows of two numbers: their number, and so their size, is bounded by the parameter.
-    taught = rows.join(F.broadcast(known), "doc_id")
-    ours = _features(taught, ["doc_id", "label"]).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0)
-    pool = sampled(rows, "doc_id", pool_rows, seed=12).join(F.broadcast(known), "doc_id", "left_anti")
-    mine = ours.orderBy("doc_id").toPandas()
-    theirs = _features(pool, ["doc_id"]).orderBy("doc_id").toPandas()
-    n_text, n_metadata = len(text_features("")), SOURCES + LANGUAGES + 2
-    table = lambda values, width: np.frombuffer(b"".join(values), float).reshape(-1, width)
+def fit(docs: DataFrame, labels: DataFrame, space: Workspace, labelled_rows: int = LABELLED_ROWS) -> Model:
+    """Learn from ``labels`` (doc_id, quality) and from all other rows of ``docs``, null ids and repeated rows included.
+
+    Of the labelled rows about ``labelled_rows`` different ones reach the driver, as features. A label counts for every
+    different row of its doc_id.
+    """
+    known = labelled(labels, "quality")
+    featured = space.keep(_features(docs.select("doc_id", *_inputs(docs)), ["doc_id"]), "features")
+    taught = featured.join(known, "doc_id").distinct().withColumn("hash", F.xxhash64("doc_id", "text_x", "metadata_x"))
+    ours = sampled(taught, "hash", labelled_rows).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0)
+    mine = ours.orderBy("doc_id", "hash").toPandas()
+    n = {"text": len(text_features("")), "metadata": SOURCES + LANGUAGES + 2}
+    # Null ids have no label and stay.
+    others = space.keep(featured.join(known, "doc_id", "left_anti").select("text_x", "metadata_x"), "unlabelled")
+
+    def table(values, name: str) -> np.ndarray:
+        return np.frombuffer(b"".join(values), np.float32).reshape(-1, n[name]).astype(float)
+
+    def pool(turn: Turn) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0.0
+            for batch in batches:
+                x = {name: table(batch.column(f"{name}_x").to_pylist(), name) for name in n}
+                total = total + turn.sums(x)
+            if not np.isscalar(total):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["part"])
+
+        summed = others.mapInArrow(run, "part array<double>").select(F.posexplode("part").alias("at", "value"))
+        found = np.zeros(sum(2 * (1 + (k + 1) + (k + 1) ** 2) for k in n.values()))
+        for row in summed.groupBy("at").agg(F.sum("value").alias("total")).toLocalIterator():
+            found[row["at"]] = row["total"]
+        return found
+
     return co_train(
-        table(mine["text_x"], n_text), table(mine["metadata_x"], n_metadata), mine["label"].to_numpy(float),
-        mine["held"].to_numpy(bool), table(theirs["text_x"], n_text), table(theirs["metadata_x"], n_metadata),
+        table(mine["text_x"], "text"), table(mine["metadata_x"], "metadata"), mine["label"].to_numpy(float),
+        mine["held"].to_numpy(bool), pool,
     )
 
 
@@ -216,7 +276,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``row`` (every input column), ``text_score``, ``metadata_score``, ``score`` (each from 0 to 1) of every document.
 
     Null and empty texts have features of their own; null source, language or length are values like others. Rows are
-    kept one for one, in any number; repeated rows score alike. Labels that are missing, or all of one class, give
+    kept one for one, in any number; repeated rows score alike, an empty table gives no rows, texts of any length are read
+    whole, and further columns may have any names. Labels that are missing, or all of one class, give
     every document that class's share as its score (1 without labels), so nothing is rejected for want of labels.
     """
     spark: SparkSession = docs.sparkSession
@@ -236,4 +297,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents whose score is below ``threshold``; columns as they are."""
-    return score(docs, fit(docs, labels)).filter(F.col("score") >= threshold).select("row.*")
+    return score(docs, fit(docs, labels, Workspace(docs.sparkSession))).filter(F.col("score") >= threshold).select("row.*")

@@ -77,7 +77,7 @@ def op4_decontaminate(spark, sf_dir):
 def op2_quality(spark, sf_dir):
     """Quality scores of all documents from co-trained views of text and metadata."""
     docs = table(spark, sf_dir, "documents")
-    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), Workspace(spark)))
     return scored.select(
         F.col("row.doc_id").alias("doc_id"), "text_score", "metadata_score", "score",
         (F.col("score") >= quality.THRESHOLD).alias("accepted"),
