@@ -23,23 +23,33 @@ with split as (
     from facts window w as (partition by doc_id order by i)
 ), placed as (
     select *, coalesce(sum(ends::int) over (
-        partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as chunk
+        partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as chunk,
+        sum(words) over (partition by doc_id order by i) as upto, sum(words) over (partition by doc_id) as total
     from cut
-), chunks as (
-    select doc_id, chunk, min(i) as first, count(*) as size, sum(words) as words,
-        string_agg(line, chr(10) order by i) as body
-    from placed group by doc_id, chunk
+), spans as (
+    select doc_id, first, last from (
+        select doc_id, min(i) as first, max(i) as last, count(*) as size, sum(words) as words from placed group by doc_id, chunk
+    ) where words >= case when size > 1 then {linededup.CHUNK_WORDS} else {linededup.LINE_WORDS} end
+    union
+    select a.doc_id, a.i, b.i from placed a join placed b on a.doc_id = b.doc_id and a.words > 0
+        and b.upto - b.words < a.upto - a.words + {linededup.PASSAGE_WORDS} and a.upto - a.words + {linededup.PASSAGE_WORDS} <= b.upto
+    union
+    select a.doc_id, b.i, a.i from placed a join placed b on a.doc_id = b.doc_id and a.words > 0
+        and a.upto >= {linededup.PASSAGE_WORDS} and b.upto - b.words <= a.upto - {linededup.PASSAGE_WORDS} and a.upto - {linededup.PASSAGE_WORDS} < b.upto
+), pieces as (
+    select s.doc_id, first, last, string_agg(line, chr(10) order by i) as body
+    from spans s join placed p on p.doc_id = s.doc_id and p.i between first and last group by all
 ), marked as (
-    select *, words >= case when size > 1 then {linededup.CHUNK_WORDS} else {linededup.LINE_WORDS} end
-        and row_number() over (partition by body, words >= case when size > 1 then {linededup.CHUNK_WORDS}
-            else {linededup.LINE_WORDS} end order by doc_id, first) > 1 as spare
-    from chunks
+    select *, min(doc_id) over (partition by body) as keeper, min_by(first, (doc_id, first)) over (partition by body) as stays from pieces
+), gone as (
+    select distinct doc_id, unnest(range(
+        case when doc_id = keeper then greatest(first, stays + last - first + 1) else first end, last + 1)) as i
+    from marked where doc_id <> keeper or first <> stays
 ), result as (
-    select doc_id, sum(size)::bigint as n_lines,
-        coalesce(sum(size) filter (spare), 0)::bigint as removed_lines,
-        coalesce(sum(words) filter (spare), 0)::bigint as removed_words,
-        coalesce(string_agg(body, chr(10) order by first) filter (not spare), '') as text
-    from marked group by doc_id
+    select p.doc_id, count(*)::bigint as n_lines, count(g.i)::bigint as removed_lines,
+        coalesce(sum(words) filter (g.i is not null), 0)::bigint as removed_words,
+        coalesce(string_agg(line, chr(10) order by p.i) filter (g.i is null), '') as text
+    from placed p left join gone g on g.doc_id = p.doc_id and g.i = p.i group by p.doc_id
 )
 select doc_id, n_lines, removed_lines, removed_words, length(text)::bigint as n_chars, sha256(text) as text_sha256
 from result

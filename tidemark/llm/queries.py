@@ -42,12 +42,9 @@ def op9_simhash(spark, sf_dir):
 
 @query
 def op3_line_dedup(spark, sf_dir):
-    """All documents without repeated chunks of lines, as the query's SQL states it; texts as digests.
-
-    Its SQL knows chunks only, so passages, which the operator also finds, are left out here.
-    """
+    """All documents without repeated passages and chunks of lines; texts as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rid = linededup.without_repeats(docs, Workspace(spark), passage_words=0)
+    rid = linededup.without_repeats(docs, Workspace(spark))
     return rid.select(
         F.col("row.doc_id").alias("doc_id"),
         "n_lines",
