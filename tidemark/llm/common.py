@@ -48,6 +48,24 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: lis
     return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """As ``salted_join``, with copies only for the keys that hold more than a thousandth of the rows of ``left``.
+
+    ``counts`` has ``on`` and ``n``, rows of ``left`` by key. There are fewer than a thousand such keys whatever the data,
+    so the list of them is broadcast; all other keys are joined as they are.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.filter(F.col("n") > max(total // 1000, 1000)).select(*on, F.lit(True).alias("_hot"))
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    hot = F.broadcast(hot)
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = left.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
+    copied = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
+
+
 def sampled(df: DataFrame, key: str, rows: int, seed: int = 11) -> DataFrame:
     """About ``rows`` rows of ``df`` (all, if it has no more), chosen by a hash of ``key``, whatever the table's size."""
     total = df.count()

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import numbered, packed, salted_join
+from tidemark.llm.common import hot_join, numbered, packed
 from tidemark.workspace import Workspace
 
 #: Words of a window.
@@ -151,8 +151,9 @@ def _scanned(docs: DataFrame, width: int) -> DataFrame:
 def _candidates(docs: DataFrame, reps: DataFrame, space: Workspace) -> DataFrame:
     """``t``, ``rank``, ``k1``, ``k2``, ``text``, ``shared``: the texts that share an anchor, numbered by rank, with those anchors."""
     held = reps.select("k1", "k2", "rank", F.explode("anchors").alias("anchor"))
-    shared = held.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    met = salted_join(held, shared, ["anchor"], ["k1", "k2"]).groupBy("k1", "k2", "rank").agg(F.collect_list("anchor").alias("shared"))
+    shared = space.keep(held.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
+    met = hot_join(held, shared.select("anchor"), ["anchor"], ["k1", "k2"], shared)
+    met = met.groupBy("k1", "k2", "rank").agg(F.collect_list("anchor").alias("shared"))
     met = numbered(met.withColumn("all", F.lit(0)), "all", ["rank", "k1", "k2"], space, "candidates")
     texts = docs.select(_rank(F.col("doc_id")).alias("rank"), *_keys(F.col("text")), "text")
     joined = texts.join(met.select("rank", "k1", "k2", "shared", F.col("place").alias("t")), ["rank", "k1", "k2"])
@@ -181,16 +182,16 @@ def _edges(texts: DataFrame, width: int, bits: int, mask: int) -> DataFrame:
 
 
 def compacted(occurrences: DataFrame, bits: int, space: Workspace) -> tuple[DataFrame, DataFrame]:
-    """The repeated edges ``left``, ``right``, ``source``, ``piece`` and the pieces' ``path`` and ``at``.
+    """The repeated edges ``left``, ``right``, ``source``, ``piece``, ``n`` (occurrences) and the pieces' ``path`` and ``at``.
 
     ``source`` is the least place of the window and names the edge. A ``piece`` is a run of edges joined at nodes that do
     not branch whose sources are neighbouring places of one text; it is named by its first edge. The second table
     has the pieces that follow another on their path: the path's first piece, and how many edges lie before. A
     path is cut where its sources fall, which opens circles too.
     """
-    met = occurrences.groupBy("left", "right").agg(F.min("place").alias("source"), F.max("place").alias("last"))
+    met = occurrences.groupBy("left", "right").agg(F.min("place").alias("source"), F.max("place").alias("last"), F.count("*").alias("n"))
     text = lambda place: F.shiftright(place, bits)
-    repeated = space.keep(met.filter(text(F.col("source")) != text(F.col("last"))).select("left", "right", "source"), "repeated")
+    repeated = space.keep(met.filter(text(F.col("source")) != text(F.col("last"))).select("left", "right", "source", "n"), "repeated")
     ins = repeated.groupBy(F.col("right").alias("node")).agg(F.count("*").alias("n"), F.min("source").alias("comes")).filter("n = 1")
     outs = repeated.groupBy(F.col("left").alias("node")).agg(F.count("*").alias("n"), F.min("source").alias("goes")).filter("n = 1")
     links = space.keep(ins.join(outs, "node").filter("goes > comes").select("comes", "goes"), "links")
@@ -198,7 +199,7 @@ def compacted(occurrences: DataFrame, bits: int, space: Workspace) -> tuple[Data
     edges = repeated.join(inner.select(F.col("goes").alias("source"), F.lit(True).alias("follows")), "source", "left")
     along = Window.partitionBy(text(F.col("source"))).orderBy("source").rowsBetween(Window.unboundedPreceding, 0)
     edges = space.keep(
-        edges.select("left", "right", "source", F.max(F.when(F.col("follows").isNull(), F.col("source"))).over(along).alias("piece")), "edges"
+        edges.select("left", "right", "source", "n", F.max(F.when(F.col("follows").isNull(), F.col("source"))).over(along).alias("piece")), "edges"
     )
     outer = links.join(inner, ["comes", "goes"], "left_anti")
     follow = edges.select(F.col("source").alias("comes"), "piece").join(outer, "comes").select(
@@ -208,7 +209,8 @@ def compacted(occurrences: DataFrame, bits: int, space: Workspace) -> tuple[Data
     # Each round a piece points twice as far back, until all point to the first piece of their path.
     while True:
         back = follow.select(F.col("piece").alias("path"), F.col("path").alias("_path"), F.col("at").alias("_at"))
-        joined = space.keep(salted_join(follow, back, ["path"], ["piece"], "left"), "follow")
+        # No two pieces that still move point to the same one.
+        joined = space.keep(follow.join(back, "path", "left"), "follow")
         moved = joined.filter("_path is not null").isEmpty()
         follow = joined.select("piece", F.coalesce("_path", "path").alias("path"), (F.col("at") + F.coalesce("_at", F.lit(0))).alias("at"))
         if moved:
@@ -218,7 +220,12 @@ def compacted(occurrences: DataFrame, bits: int, space: Workspace) -> tuple[Data
 def _walks(occurrences: DataFrame, edges: DataFrame, bits: int) -> DataFrame:
     """``t``, ``start``, ``n``, ``source_t``, ``source_start``, ``piece``: unbroken walks of ``n`` windows along a piece of an earlier text."""
     text = lambda place: F.shiftright(place, bits)
-    met = salted_join(occurrences, edges, ["left", "right"], ["place"]).filter(text(F.col("source")) < text(F.col("place")))
+    # One number for both nodes is enough here: what else it lets through is told apart by its words.
+    edge = F.xxhash64("left", "right").alias("edge")
+    known = edges.select(edge, "source", "piece")
+    counts = edges.groupBy(edge).agg(F.sum("n").alias("n"))
+    met = hot_join(occurrences.select(edge, "place"), known, ["edge"], ["place"], counts)
+    met = met.filter(text(F.col("source")) < text(F.col("place")))
     met = met.select(text(F.col("place")).alias("t"), "piece", "place", (F.col("place") - F.col("source")).alias("lead"))
     order = Window.partitionBy("t", "piece", "lead").orderBy("place")
     # One place may stand there twice where a row of the table is repeated.
@@ -239,8 +246,6 @@ def _digested(spans: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     lists = asked.join(counted, "t").groupBy("t", F.pmod(F.xxhash64("start", "n"), F.col("lists")).alias("list")).agg(
         F.collect_list(F.struct("start", "n")).alias("spans")
     )
-    once = texts.groupBy("t").agg(F.first("rank").alias("rank"), F.first("text").alias("text"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -253,7 +258,9 @@ def _digested(spans: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                     names=["t", "start", "n", "rank", "digest"],
                 )
 
-    return lists.select("t", "spans").join(once, "t").mapInArrow(run, "t bigint, start bigint, n bigint, rank bigint, digest binary")
+    # A text stands in the table more than once if its row is repeated.
+    met = lists.select("t", "spans").join(texts.select("t", "rank", "text"), "t")
+    return met.mapInArrow(run, "t bigint, start bigint, n bigint, rank bigint, digest binary").distinct()
 
 
 def _verified(walks: DataFrame, occurrences: DataFrame, edges: DataFrame, texts: DataFrame, width: int, bits: int, space: Workspace) -> DataFrame:
@@ -264,7 +271,10 @@ def _verified(walks: DataFrame, occurrences: DataFrame, edges: DataFrame, texts:
     theirs = digests.select(
         F.col("t").alias("source_t"), F.col("start").alias("source_start"), "n", F.col("rank").alias("source_rank"), F.col("digest").alias("source_digest")
     )
-    both = salted_join(walks, theirs, ["source_t", "source_start", "n"], ["t", "start"]).join(digests, ["t", "start", "n"])
+    asked = walks.withColumnRenamed("n", "windows").groupBy("source_t", "source_start", "windows").agg(F.count("*").alias("n"))
+    both = hot_join(
+        walks.withColumnRenamed("n", "windows"), theirs.withColumnRenamed("n", "windows"), ["source_t", "source_start", "windows"], ["t", "start"], asked
+    ).withColumnRenamed("windows", "n").join(digests, ["t", "start", "n"])
     compared = space.keep(both.select("t", "start", "n", "piece", "source_t", "source_start", "rank", "source_rank", (F.col("digest") == F.col("source_digest")).alias("equal")), "compared")
     # Texts of one doc_id do not count as earlier than each other.
     found = compared.filter("equal and source_rank < rank").select("t", "start", "n")
@@ -273,20 +283,21 @@ def _verified(walks: DataFrame, occurrences: DataFrame, edges: DataFrame, texts:
         return found
     source = F.shiftleft("source_t", bits) + F.col("source_start")
     doubtful = unlike.select(F.explode(F.sequence(source, source + F.col("n") - 1)).alias("source")).distinct()
-    places = salted_join(occurrences, edges.join(doubtful, "source").select("left", "right", "source"), ["left", "right"], ["place"])
+    doubted = space.keep(edges.join(doubtful, "source").select("left", "right", "source", "n"), "doubted")
+    places = hot_join(occurrences, doubted.drop("n"), ["left", "right"], ["place"], doubted.select("left", "right", "n"))
     single = space.keep(places.select(
         "source", F.shiftright("place", bits).alias("t"), F.col("place").bitwiseAND(F.lit((1 << bits) - 1)).alias("start"), F.lit(1).cast("bigint").alias("n")
     ).distinct(), "doubtful")
     told = space.keep(single.join(_digested(single, texts, width), ["t", "start", "n"]), "told")
-    firsts = told.groupBy("source", "digest").agg(F.min("rank").alias("first"))
-    apart = salted_join(told, firsts, ["source", "digest"], ["t", "start"]).filter("first < rank").select("t", "start", "n")
+    firsts = told.groupBy("source", "digest").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
+    apart = hot_join(told, firsts.drop("n"), ["source", "digest"], ["t", "start"], firsts.select("source", "digest", "n"))
+    apart = apart.filter("first < rank").select("t", "start", "n")
     return found.unionByName(apart)
 
 
 def _kept(found: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """``k1``, ``k2``, ``removed`` (word ranges ``first`` to ``last`` from 0), ``n_removed``, ``kept`` of each text that loses words."""
     per_text = found.groupBy("t").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    once = texts.groupBy("t").agg(F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("text").alias("text"))
     schema = "k1 bigint, k2 bigint, removed array<struct<first: bigint, last: bigint>>, n_removed bigint, kept string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +319,7 @@ def _kept(found: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                     names=["k1", "k2", "removed", "n_removed", "kept"],
                 )
 
-    return per_text.join(once, "t").mapInArrow(run, schema)
+    return per_text.join(texts.select("t", "k1", "k2", "text"), "t").mapInArrow(run, schema).dropDuplicates(["k1", "k2"])
 
 
 def repeats(docs: DataFrame, space: Workspace, width: int = WIDTH, mask: int = (1 << 64) - 1) -> DataFrame:
@@ -323,7 +334,7 @@ def repeats(docs: DataFrame, space: Workspace, width: int = WIDTH, mask: int = (
     gives none. Other columns may have any names. ``mask`` leaves bits of node hashes out, to test what collisions do.
     """
     scan = space.keep(_scanned(docs, width), "scan")
-    reps = scan.groupBy("k1", "k2").agg(F.min("rank").alias("rank"), F.max("n_words").alias("n_words"), F.first("anchors").alias("anchors"))
+    reps = scan.groupBy("k1", "k2").agg(F.min("rank").alias("rank"), F.count("*").alias("n"), F.max("n_words").alias("n_words"), F.first("anchors").alias("anchors"))
     reps = space.keep(reps, "distinct")
     texts = _candidates(docs, reps, space)
     # A place is a text's number and a word's, side by side in 63 bits.
@@ -337,7 +348,7 @@ def repeats(docs: DataFrame, space: Workspace, width: int = WIDTH, mask: int = (
     found = _verified(walks, occurrences, edges, texts, width, bits, space)
     kept = space.keep(_kept(found, texts, width), "kept")
     classes = reps.select("k1", "k2", F.col("rank").alias("first")).join(kept, ["k1", "k2"], "left")
-    rows = salted_join(scan.drop("anchors"), classes, ["k1", "k2"], ["rank"])
+    rows = hot_join(scan.drop("anchors"), classes, ["k1", "k2"], ["rank"], reps.select("k1", "k2", "n"))
     # A copy of a text of smaller id is covered by its windows from end to end, if it has one.
     copy = (F.col("rank") > F.col("first")) & (F.col("n_words") >= width)
     none = F.array().cast("array<struct<first: bigint, last: bigint>>")
