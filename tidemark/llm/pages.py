@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into blocks, one line each, and each line weighs as much as its text is long. Parts of a page that
-are not its article (menus, headers, footers, sidebars, notices, adverts, forms, comments: by element, role, class or id)
-and lines made of links weigh nothing, and a stretch of empty lines stands where such a part ends. The sums over sliding
-windows of lines surge where running text begins and fall to nothing where it ends; all text between a surge and the dive
-after it is kept. On a page with an article element the lines inside it are kept whole, unless the surges outside it hold
-more text; these are then kept instead.
+Markup is stripped into blocks, one line each, and each line weighs as much as its text is long, several times that inside
+an article element. Parts of a page that are not its article (menus, headers, footers, sidebars, notices, adverts, forms,
+comments: by element, role, class or id) are stripped with their markup, and lines made of links weigh nothing. The sums over
+sliding windows of lines surge where running text begins and dive to nothing where it ends, as a stretch of empty lines
+stands where a stripped part or an article begins or ends. The surges inside articles and those outside are weighed against each
+other, and the heavier side is the main text: all text between a surge and its dive, and the short lines that stand
+beside it in the same element, cut off from it by something stripped.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 #: Lines in a window, and the sum from which a window is a surge.
 WINDOW = 3
 SURGE = 80
+#: How much more a sign weighs inside an article element.
+IN_ARTICLE = 4
 #: A line weighs nothing if more than this share of its text is links.
 LINKED = 0.5
 
@@ -82,14 +85,21 @@ def _set_aside(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """The page's blocks in order: text, weight, inside an article. Boilerplate leaves empty lines of weight 0."""
-    found: list[tuple[str, int, bool]] = []
+Line = tuple[str, int, bool, int]
+
+
+def lines_of(page: str) -> list[Line]:
+    """The page's blocks in order: text, weight, inside an article, and the element they stand in (of an article: the outermost).
+
+    Stripped parts and the ends of articles leave empty lines of weight 0.
+    """
+    found: list[Line] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, set aside, article
+    places = [0]  # of the open elements: their own number, or that of the article around them
     open_names: dict[str, int] = {}
-    aside = articles = links = 0
+    aside = articles = links = elements = 0
     at = 0
 
     def close_block() -> None:
@@ -98,17 +108,18 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 weight = 0 if linked > LINKED * len(text) else len(text)
-                found.append((text, weight, articles > 0))
+                found.append((text, weight, articles > 0, places[-1]))
             parts.clear()
         linked = 0
 
     def gap() -> None:
-        found.extend([("", 0, False)] * WINDOW)
+        found.extend([("", 0, False, -1)] * WINDOW)
 
     def pop_to(name: str) -> None:
         nonlocal aside, articles
         while stack:
             top, is_aside, is_article = stack.pop()
+            places.pop()
             open_names[top] -= 1
             if is_aside:
                 aside -= 1
@@ -116,6 +127,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 if not aside:
                     gap()
             articles -= is_article
+            if is_article and not articles:
+                gap()
             if top == name:
                 return
 
@@ -171,6 +184,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 close_block()
                 gap()
             is_article = name in ARTICLE and not set_aside and not aside
+            if is_article and not articles:
+                gap()
+            elements += 1
+            places.append(places[-1] if articles else elements)
             stack.append((name, set_aside, is_article))
             open_names[name] = open_names.get(name, 0) + 1
             aside += set_aside
@@ -181,43 +198,58 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
 
 def main_text(page: str | None) -> str:
-    """The blocks between each surge and its dive, in page order, one to a line; empty for null, empty or textless pages."""
+    """The text of the heavier side, in page order, a block to a line; empty for null, empty or textless pages.
+
+    A page without any surge has its highest stretch for a surge.
+    """
     lines = lines_of(page or "")
-    if not any(inside and text for text, _, inside in lines):
-        return "\n".join(_stretches(lines, [weight for _, weight, _ in lines])[0])
-    article, _ = _stretches(lines, [max(weight, 1) + SURGE if inside and text else 0 for text, weight, inside in lines])
-    # Surges outside that hold more text than the article: it is then a teaser or a comment.
-    outside, surges = _stretches(lines, [0 if inside else weight for _, weight, inside in lines])
-    weight = sum(weight for text, weight, inside in lines if inside)
-    return "\n".join(outside if surges and sum(map(len, outside)) > weight else article)
-
-
-def _stretches(lines: list[tuple[str, int, bool]], weights: list[int]) -> tuple[list[str], bool]:
-    """The lines between each surge and its dive, or else of the highest stretch; whether there is a surge."""
-    size = len(weights)
+    weights = [weight * IN_ARTICLE if inside else weight for _, weight, inside, _ in lines]
+    stretches = surges(weights)
+    if not stretches:
+        # Without weight, links at most.
+        return "\n".join(text for text, *_ in lines if text)
+    totals = {True: 0, False: 0}
+    for begin, end in stretches:
+        for i in range(begin, end):
+            totals[lines[i][2]] += weights[i]
+    side = totals[True] >= totals[False]
+    kept, places = set(), set()
+    for begin, end in stretches:
+        heavy = [i for i in range(begin, end) if weights[i] and lines[i][2] == side]
+        if heavy:
+            kept.update(range(heavy[0], heavy[-1] + 1))
+            for i in heavy:
+                places.add(lines[i][3])
+    for i, (text, weight, inside, place) in enumerate(lines):
+        # What stands beside the text: all of an article; elsewhere lines that are not links.
+        if text and inside == side and place in places and (inside or weight):
+            kept.add(i)
+    return "\n".join(lines[i][0] for i in sorted(kept) if lines[i][0] and lines[i][2] == side)
+
+
+def surges(weights: list[int]) -> list[tuple[int, int]]:
+    """From where the window's sum rises above nothing to where it dives to nothing again, if it surges between.
+
+    If it nowhere does, the highest such stretch; none without weight.
+    """
     sums, total = [], 0
     for i, weight in enumerate(weights):
         total += weight - (weights[i - WINDOW] if i >= WINDOW else 0)
         sums.append(total)  # of the window that ends here
-    kept: list[str] = []
-    best: tuple[int, list[str]] = (0, [])
-    i = 0
+    found: list[tuple[int, int]] = []
+    best: tuple[int, list[tuple[int, int]]] = (0, [])
+    i, size = 0, len(sums)
     while i < size:
-        if not sums[i]:
-            i += 1
-            continue
         j = i
         while j < size and sums[j]:
             j += 1
-        stretch = [text for (text, weight, _), w in zip(lines[i:j], weights[i:j]) if text and w]
-        height = max(sums[i:j])
+        height = max(sums[i:j], default=0)
         if height >= SURGE:
-            kept += stretch
+            found.append((i, j))
         elif height > best[0]:
-            best = (height, stretch)
-        i = j
-    # A page of short lines only has no surge; its highest stretch is then the text.
-    return kept or best[1], bool(kept)
+            best = (height, [(i, j)])
+        i = max(j, i + 1)
+    return found or best[1]
 
 
 def extract(pages: DataFrame) -> DataFrame:
