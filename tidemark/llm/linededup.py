@@ -11,8 +11,8 @@ passage. Both depend on the lines at the place only, so the same passage is cut
 inserted before it shift nothing. Being a least value also keeps cuts at least two lines apart; they are three apart on
 average, and none leaves a single line at a text's top or end. Chunks find shared lines of fewer words, though not all.
 
-Pieces (passages, chunks of several lines) that occur more than once anywhere are repeated: they are compared by the
-SHA-256 of their whole text. The first occurrence (smallest doc_id, then place) stays, the others' lines go.
+Pieces (passages, chunks of several lines) that occur more than once anywhere are repeated: short marks tell which may
+be, and those are compared by the SHA-256 of their whole text. The first occurrence (smallest doc_id, then place) stays, the others' lines go.
 
 The grouping combines equal pieces before the shuffle, so a passage that a third of all documents share is a few rows
 per task; the list of occurrences that meets it again holds digests only and is dealt over many tasks.
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import packed, salted_join, settled, text_key
+from tidemark.llm.common import hot_join, packed, settled, text_key
 from tidemark.workspace import Workspace
 
 #: Lines in the rolling window.
@@ -126,19 +126,24 @@ def repeated_lines(
     rows = docs.select("doc_id", text_key().alias("key"), "text")
     facts = with_chunks(with_lines(rows, F.col("text")), F.col("text"), window, line_words)
     counted = F.filter("chunks", lambda c: _counted(c, line_words, chunk_words))
-    pieces = with_pieces(facts, counted, passage_words).select("doc_id", "key", F.explode(
+    facts = settled(with_pieces(facts, counted, passage_words), "marks", F.transform("lines", lambda line: F.xxhash64(line)))
+    mark = lambda c: F.xxhash64(F.slice("marks", c["first"], c["size"]))
+    # A short mark of each piece, made of marks of its lines, leaves those that may repeat; equal ones of a task are combined.
+    marks = facts.select(F.explode(F.transform("pieces", mark)).alias("mark")).groupBy("mark").agg(F.count("*").alias("n"))
+    marks = space.keep(marks.filter("n > 1"), "marks")
+    pieces = facts.select("doc_id", "key", F.explode(
         F.transform(
             "pieces",
             lambda c: F.struct(
-                c["first"].alias("first"), c["size"].alias("size"),
-                F.unhex(F.sha2(_text(c), 256)).alias("digest"),
+                c["first"].alias("first"), c["size"].alias("size"), mark(c).alias("mark"), F.unhex(F.sha2(_text(c), 256)).alias("digest"),
             ),
         )
     ).alias("piece")).select("doc_id", "key", "piece.*")
-    # Equal rows of a task become one before they are shuffled.
-    texts = pieces.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"))
-    repeated = space.keep(texts.filter("n > 1").select("digest", "keeper"), "repeated")
-    found = salted_join(pieces, repeated, ["digest"], ["doc_id", "key"])
+    likely = space.keep(hot_join(pieces, marks.select("mark"), ["mark"], ["doc_id", "key"], marks), "likely")
+    # Whether they do is told by their whole text.
+    texts = likely.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"))
+    repeated = space.keep(texts.filter("n > 1"), "repeated")
+    found = hot_join(likely, repeated.select("digest", "keeper"), ["digest"], ["doc_id", "key"], repeated.select("digest", "n"))
     # Within the document that keeps a text its first place stays; a null keeper means that no occurrence has an id.
     first = found.filter("doc_id = keeper").groupBy("doc_id", "digest").agg(
         F.min_by(F.struct("key", "first"), F.struct("key", "first")).alias("stays")
