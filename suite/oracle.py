@@ -417,4 +417,32 @@ select c.source, c.end_line, strftime(start_time, '%Y-%m-%dT%H:%M:%S') as start_
  us // 1000000 as duration_seconds, severity, evidence as alibi_events_caught, causality as total_causality_violations,
  forgery as shannon_entropy_collapses, trust || '%' as system_trust_confidence, status as system_status
 from checked c join scored s on c.source = s.source""",
+    "alibi_by_path": f"""
+with audit_log as (select event_type as source, event_id as line_number, {_LINE} as line from events),
+seen as (
+ select strptime(substr(line, 1, 19), '%Y-%m-%d %H:%M:%S') as ts from audit_log
+ where (source = 'click' or source[1] in ('e', 's', 'v')) and regexp_matches(line, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}')),
+{EVENT_LOG}, {_steps()}, {_gaps(3600)}
+select source, start_time, end_time, severity, end_line,
+ (select count(*) from seen s where s.ts > g.start_time and s.ts < g.end_time) as alibi_evidence_count from gaps g""",
+    "gap_numbers": f"""
+with {TEXT}, {_steps()}, {_gaps(300)},
+placed as (select source, end_line, row_number() over (partition by source order by end_line) as gap_number from gaps)
+select source, end_line, gap_number, 'GAP-' || lpad(gap_number::varchar, greatest(2, length(gap_number::varchar))::int, '0') as gap_id from placed""",
+    "report_gaps": f"""
+with {TEXT}, {_steps()}, {_gaps(300)}, {_EXTENT},
+placed as (
+ select g.*, e.file_start, e.span_us, row_number() over (partition by g.source order by end_line) - 1 as n,
+  (select count(*) from events s where s.ts > g.start_time and s.ts < g.end_time) as evidence
+ from gaps g join extent e on g.source = e.source)
+select source, n // 500 as part, n % 500 as place, strftime(start_time, '%Y-%m-%dT%H:%M:%S') as start_time,
+ strftime(end_time, '%Y-%m-%dT%H:%M:%S') as end_time, us // 1000000 as duration_seconds, {_human('us')} as duration_human, severity,
+ start_line, end_line,
+ case when span_us > 0 then round_even((date_diff('microsecond', file_start, start_time) / 1e6) / (span_us / 1e6) * 100.0, 1) else 0.0::double end as position_percent,
+ case when span_us > 0 then round_even((us / 1e6) / (span_us / 1e6) * 100.0, 1) else 0.0::double end as width_percent, evidence as alibi_events_caught
+from placed""",
+    "report_alerts": f"""
+with {AUDIT}, {_FEED},
+placed as (select source, message, row_number() over (partition by source order by line_number, kind_rank) - 1 as n from feed)
+select source, n // 500 as part, n % 500 as place, message from placed""",
 }

@@ -304,6 +304,18 @@ def safe_interval_anti_join(spark, sf_dir):
     return _listed(sequence.without_safe_spans(_event_gaps(spark, sf_dir, BY_TYPE), safe, BY_TYPE))
 
 
+@query
+def alibi_by_path(spark, sf_dir):
+    """Gaps of an hour and more in each event log against the text logs, given as files; one of the given paths is not there."""
+    folder = Workspace(spark).path("secondary")
+    data.audit_log(spark, sf_dir).select("source", "line").write.partitionBy("source").text(folder)
+    found = analyze(
+        spark, data.event_log(spark, sf_dir), settings=SUITE.override(min_gap_threshold=3600),
+        alibi_logs=[f"{folder}/source=click", f"{folder}/source=[esv]*", f"{folder}/source=none"],
+    )
+    return _with_evidence(found.gaps)
+
+
 # Aggregates
 
 
@@ -467,3 +479,31 @@ def integrity_report(spark, sf_dir):
 @query
 def gap_ledger(spark, sf_dir):
     return _user_findings(spark, sf_dir, _escalations(spark, sf_dir)).ledger
+
+
+@query
+def gap_numbers(spark, sf_dir):
+    return sequence.number_gaps(_text_gaps(spark, sf_dir), BY_TYPE).select("source", "end_line", "gap_number", "gap_id")
+
+
+@query
+def report_gaps(spark, sf_dir):
+    """The report's list of gaps, part by part, with all events as the secondary log."""
+    found = analyze(
+        spark, data.audit_log(spark, sf_dir), settings=BY_TYPE.override(part_rows=500), alibi_logs=[data.event_log(spark, sf_dir)],
+        run_at=datetime(2024, 1, 1),
+    )
+    return found.report.select("source", "part", F.posexplode("detailed_gaps").alias("place", "gap")).select(
+        "source", "part", F.col("place").cast("bigint").alias("place"), "gap.*"
+    )
+
+
+@query
+def report_alerts(spark, sf_dir):
+    """The report's list of alerts, part by part."""
+    found = analyze(
+        spark, data.audit_json(spark, sf_dir), audit=True, settings=BY_TYPE.override(part_rows=500), run_at=datetime(2024, 1, 1)
+    )
+    return found.report.select("source", "part", F.posexplode("anomalies.cloud_alerts").alias("place", "message")).select(
+        "source", "part", F.col("place").cast("bigint").alias("place"), "message"
+    )

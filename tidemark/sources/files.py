@@ -11,8 +11,8 @@ from tidemark.settings import Settings
 from tidemark.sources import normalize
 from tidemark.workspace import Workspace
 
-# Above this many file splits the table of line offsets is no longer sent to every executor.
-BROADCAST_SPLITS = 1_000_000
+# Above this size, names of files included, the table of line offsets is no longer sent to every executor.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def path_list(paths: str | list[str]) -> list[str]:
@@ -42,26 +42,44 @@ def with_line_numbers(
     written table: the counter is not the same from one read of a text file to the next.
     """
     split = ["source", *split_order]
-    per_split = stored.groupBy(*split).agg(F.min("counter").alias("first_counter"), F.count(F.lit(1)).alias("n_lines"))
-    before = Window.partitionBy("source").orderBy(*split_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = workspace.keep(
-        per_split.select(*split, "first_counter", F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("offset")),
-        "line_offsets",
-    )
-    if offsets.count() <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
+    offsets = _offsets(stored, split, workspace)
     number = F.col("counter") - F.col("first_counter") + F.col("offset") + 1
     return (
-        stored.join(offsets, split)
+        stored.join(_hinted(offsets), split)
         .withColumn("line_number", number)
-        .drop(*split_order, "counter", "first_counter", "offset")
+        .drop(*split_order, "counter", "first_counter", "n_lines", "offset")
     )
 
 
+def _offsets(lines: DataFrame, split: list[str], workspace: Workspace) -> DataFrame:
+    """Per split its first counter, its number of lines and those of the splits before it in its source."""
+    per_split = lines.groupBy(*split).agg(F.min("counter").alias("first_counter"), F.count(F.lit(1)).alias("n_lines"))
+    before = Window.partitionBy("source").orderBy(*split[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("offset")
+    return workspace.keep(per_split.select(*split, "first_counter", "n_lines", offset), "line_offsets")
+
+
+def _hinted(offsets: DataFrame) -> DataFrame:
+    size = offsets.agg(F.sum(F.octet_length("source") + 40)).first()[0] or 0
+    return F.broadcast(offsets) if size <= BROADCAST_BYTES else offsets
+
+
 def read_text_lines(spark: SparkSession, paths: str | list[str], workspace: Workspace) -> DataFrame:
-    """``(source, line_number, line)`` over all lines of all files, blank ones included."""
-    stored = workspace.keep(raw_splits(spark, paths), "raw_lines")
-    return with_line_numbers(stored, workspace).select("source", "line_number", "line")
+    """``(source, line_number, line)`` over all lines of all files, blank ones included.
+
+    The text is read twice and written nowhere: once to count the lines of each split, once to number them. Spark cuts
+    the same files alike both times; should that ever fail, because files or the cluster's size changed between the two, the run ends
+    with an error, as a line then has no place in the counts.
+    """
+    raw = raw_splits(spark, paths)
+    split = ["source", "split_start"]
+    numbered = raw.join(_hinted(_offsets(raw, split, workspace)), split, "left")
+    place = F.col("counter") - F.col("first_counter")
+    counted = F.coalesce(place.between(0, F.col("n_lines") - 1), F.lit(False))
+    number = F.when(counted, place + F.col("offset") + 1).otherwise(
+        F.raise_error(F.concat(F.lit("cut otherwise than when its lines were counted: "), F.col("source"))).cast("bigint")
+    )
+    return numbered.select("source", number.alias("line_number"), "line")
 
 
 def read_normalized(
