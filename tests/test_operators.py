@@ -197,6 +197,21 @@ def test_medians_equal_statistics(spark, seed):
         assert row.mad_seconds == pytest.approx(statistics.median([abs(v - middle) for v in values]), abs=1e-7)
 
 
+def test_medians_of_gaps_that_are_all_alike(spark):
+    """Gaps within one second of each other: every step of the search sees no more counts than its bits tell apart."""
+    gaps = spark.range(300_000).select(
+        F.lit("log").alias("source"), F.col("id").alias("end_line"), (60_000_000 + (F.col("id") * 7919) % 1_000_000).alias("duration_us")
+    ).withColumn("duration_seconds", F.col("duration_us") / 1e6)
+    row = medians.gap_spread(gaps, Settings()).first()
+    values = [60_000_000 + k * 7919 % 1_000_000 for k in range(300_000)]
+    middle = statistics.median(values)
+    assert row.median_seconds == pytest.approx(middle / 1e6, abs=1e-9)
+    assert row.mad_seconds == pytest.approx(statistics.median([abs(v - middle) for v in values]) / 1e6, abs=1e-9)
+    found = medians.middle_values(gaps, "duration_us", 172_800_000_000).first()
+    assert (found.n_gaps, found.lower, found.upper) == (300_000, *sorted(values)[149_999:150_001])
+    assert medians.middle_values(gaps.limit(0), "duration_us", 100).collect() == []
+
+
 def fold(rows):
     """The definition, one event after another."""
     r, n, found = 0.0, 0, []

@@ -1,4 +1,8 @@
-"""Exact medians per log, found by counting instead of by sorting a whole log in one place."""
+"""Exact medians per log, found by counting instead of by sorting a whole log in one place.
+
+Values are counted by their leading bits, then, only where the middle lies, by more bits, down to single values. A step
+orders no more than ``2 ** BITS`` counts of one log, however many gaps it has and however close together they are.
+"""
 
 from __future__ import annotations
 
@@ -6,45 +10,45 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import time as t
 from tidemark.operators import blocks
-from tidemark.operators.blocks import BLOCK
 from tidemark.settings import Settings
 
+#: Bits that one step tells apart.
+BITS = 13
+
 
-def middle_values(df: DataFrame, value: str, width: int) -> DataFrame:
-    """The two middle values (equal for an odd count) of a non-negative whole number, and the count, per source.
+def middle_values(df: DataFrame, value: str, highest: int) -> DataFrame:
+    """The two middle values (equal for an odd count) of a whole number from 0 to ``highest``, and the count, per source.
 
-    Equal values are merged with their count. A small table of value ranges tells which range holds the middle, and
-    only that range's values are ordered.
+    Equal values are merged with their count first.
     """
-    merged = blocks.with_block(df.groupBy("source", value).agg(F.count(F.lit(1)).alias("weight")), value, width)
-    totals = merged.groupBy("source", BLOCK).agg(F.sum("weight").alias("total"))
-    all_of_log = Window.partitionBy("source")
-    before = all_of_log.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    counts = [df.groupBy("source", F.col(value).alias("at")).agg(F.count(F.lit(1)).alias("total"))]
+    for _ in range((max(highest, 1).bit_length() - 1) // BITS):
+        finer = counts[-1].select("source", F.shiftright("at", BITS).alias("at"), "total")
+        counts.append(finer.groupBy("source", "at").agg(F.sum("total").alias("total")))
     rank_low, rank_high = F.expr("(n - 1) div 2"), F.expr("n div 2")
-    targets = (
-        totals.select(
-            "source", BLOCK, "total",
-            F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"),
-            F.sum("total").over(all_of_log).alias("n"),
+    # From the leading bits down: which counts hold a middle rank, and how many values lie before them.
+    log = Window.partitionBy("source")
+    before = log.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts[-1].withColumns({"before": F.coalesce(F.sum("total").over(before), F.lit(0)), "n": F.sum("total").over(log)})
+    holds = lambda rank: (F.col("before") <= rank) & (F.col("before") + F.col("total") > rank)
+    for finer in reversed(counts[:-1]):
+        held = placed.filter(holds(rank_low) | holds(rank_high)).select("source", F.col("at").alias("high"), F.col("before").alias("base"), "n")
+        inside = Window.partitionBy("source", "high").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        placed = finer.withColumn("high", F.shiftright("at", BITS)).join(held, ["source", "high"]).select(
+            "source", "at", "total", "n", (F.col("base") + F.coalesce(F.sum("total").over(inside), F.lit(0))).alias("before")
         )
-        .filter((F.col("before") <= rank_high) & (F.col("before") + F.col("total") > rank_low))
-        .drop("total")
-    )
-    within = Window.partitionBy("source", BLOCK).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = merged.join(targets, ["source", BLOCK]).withColumn("upto", F.col("before") + F.sum("weight").over(within))
-    holds = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("weight") <= rank)
-    return ranked.groupBy("source").agg(
+    return placed.groupBy("source").agg(
         F.max("n").alias("n_gaps"),
-        F.max(F.when(holds(rank_low), F.col(value))).alias("lower"),
-        F.max(F.when(holds(rank_high), F.col(value))).alias("upper"),
+        F.max(F.when(holds(rank_low), F.col("at"))).alias("lower"),
+        F.max(F.when(holds(rank_high), F.col("at"))).alias("upper"),
     )
 
 
 def gap_spread(gaps_df: DataFrame, settings: Settings) -> DataFrame:
     """Median gap and median absolute deviation per source, in seconds; sources without gaps have no row."""
-    width = max(1, settings.max_reasonable_gap * t.MICROS // 4096)
+    longest = settings.max_reasonable_gap * t.MICROS
     durations = gaps_df.select("source", "end_line", "duration_us")
-    middle = middle_values(durations, "duration_us", width).join(
+    middle = middle_values(durations, "duration_us", longest).join(
         durations.groupBy("source").agg(F.max("end_line").alias("last_line")), "source"
     )
     # Twice the values, so that a median between two microseconds stays a whole number.
@@ -52,7 +56,7 @@ def gap_spread(gaps_df: DataFrame, settings: Settings) -> DataFrame:
     deviations = blocks.attach(durations, "end_line", medians, "source", settings.block_lines).select(
         "source", F.abs(2 * F.col("duration_us") - F.col("median_2")).alias("deviation_2")
     )
-    spread = middle_values(deviations, "deviation_2", 2 * width).select(
+    spread = middle_values(deviations, "deviation_2", 2 * longest).select(
         "source", ((F.col("lower") + F.col("upper")) / F.lit(4.0 * t.MICROS)).alias("mad_seconds")
     )
     return middle.join(spread, "source").select(
