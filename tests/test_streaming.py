@@ -156,3 +156,50 @@ def test_stateless_alerts_as_a_plain_stream(spark, tmp_path):
     batch = live_alerts(normalize.normalize_audit(spark.createDataFrame(audit_trail(1, 50), RAW).withColumnRenamed("seq", "line_number")), Settings())
     assert 0 < spark.table("alerts_now").count() == batch.count()
     assert same(spark.table("alerts_now"), batch, ["line_number", "message"])
+
+
+def table_bucket(keys, table):
+    return keys.select(table._bucket()).first()[0]
+
+
+def test_a_batch_reads_the_buckets_of_its_keys(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path), "k STRING, v BIGINT", ["k"], whole_every=3)
+    for n in range(5):
+        table.write(n, spark.createDataFrame([(f"k{i}", 10 * n + i) for i in range(200)], table.schema))
+    wanted = spark.createDataFrame([("k7",)], "k STRING")
+    read = table.before(5, wanted)
+    assert [tuple(r) for r in read.collect()] == [("k7", 47)]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan, plan
+    # Of a batch that touches one key, one bucket is read.
+    read = [r.p.rsplit("/", 2)[-2] for r in table._read("changes", [3, 4], [table_bucket(wanted, table)]).select(F.col("_metadata.file_path").alias("p")).distinct().collect()]
+    assert read == [f"bucket={table_bucket(wanted, table)}"] * 2
+    assert table.before(5).count() == 200
+
+
+def test_state_and_counters_stay_bounded(spark, tmp_path):
+    """Batch after batch: no more files than a few batches leave, and the report of all of them."""
+    table = StateTable(spark, str(tmp_path / "state"), "k STRING, v BIGINT", ["k"], whole_every=4)
+    seen = {}
+    for n in range(22):
+        rows = [(f"k{(n * 5 + i) % 40}", n) for i in range(3)]
+        seen |= dict(rows)
+        table.write(n, spark.createDataFrame(rows, table.schema))
+        kept = sorted(int(p.name.split('=')[1]) for kind in ("changes", "whole") for p in (tmp_path / "state" / kind).glob("*"))
+        assert len(kept) <= 3 * 4 + 2 and kept[0] >= n - 12
+    assert {r.k: r.v for r in table.before(22).collect()} == seen
+    # A batch may be run again although older parts are gone.
+    table.write(21, spark.createDataFrame(rows, table.schema))
+    assert {r.k: r.v for r in table.before(22).collect()} == seen
+
+
+def test_folded_counters_report_all_batches(spark, tmp_path):
+    rows = damaged_log(12, 260)
+    log = LogStream(spark, str(tmp_path), SETTINGS, normalize.normalize_text, True, whole_every=2)
+    for n in range(7):
+        log.process(spark.createDataFrame(rows[n * 40:(n + 1) * 40], RAW), n)
+    # The last batch is run again.
+    log.process(spark.createDataFrame(rows[240:], RAW), 6)
+    assert len(list((tmp_path / "counters").glob("batch_id=*"))) == 3 and len(list((tmp_path / "counters_whole").glob("*"))) == 2
+    whole, streamed = batch_result(spark, rows, False), findings_so_far(spark, str(tmp_path), SETTINGS)
+    same(streamed.scores, whole.scores, COMPARED["scores"])

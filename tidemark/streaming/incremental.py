@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import alerts, baseline, blocks, scoring, sequence
@@ -45,12 +45,23 @@ FINDING_SCHEMAS = {
 }
 
 
+#: Parts that a state is kept in; a batch reads and writes those of its own keys.
+BUCKETS = 64
+
+
 class StateTable:
-    """The latest row per key, stored as the changes of each batch and, now and then, as a whole."""
+    """The latest row per key, stored as the changes of each batch and, now and then, as a whole.
+
+    Either is laid out by a hash of the key, so a batch reads the parts that its keys are in. Once there are two newer whole
+    copies, what is older is removed: a batch that is run again starts from a copy before it.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, schema: str, keys: list[str], whole_every: int):
         self.spark, self.folder, self.schema, self.keys, self.whole_every = spark, folder, schema, keys, whole_every
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(BUCKETS)).cast("int")
+
     def before(self, batch_id: int, wanted: DataFrame | None = None) -> DataFrame:
         """State as the batches before ``batch_id`` left it, for the keys in ``wanted`` or for all."""
         return self._state(batch_id, batch_id, wanted)
@@ -59,26 +70,44 @@ class StateTable:
         """As ``before``, starting from a whole copy older than ``whole_before``."""
         whole = [n for n in _numbers(self.spark, f"{self.folder}/whole") if n < whole_before]
         base = max(whole, default=-1)
-        paths = [f"{self.folder}/whole/{base}"] if whole else []
-        paths += [
-            f"{self.folder}/changes/{n}" for n in _numbers(self.spark, f"{self.folder}/changes") if base < n < batch_id
-        ]
-        if not paths:
+        later = [n for n in _numbers(self.spark, f"{self.folder}/changes") if base < n < batch_id]
+        buckets = None
+        if wanted is not None:
+            buckets = sorted(row[0] for row in wanted.select(self._bucket()).distinct().collect())
+        parts = [self._read("whole", [base], buckets)] if whole else []
+        parts += [self._read("changes", later, buckets)] if later else []
+        if not parts:
             return self.spark.createDataFrame([], self.schema)
-        rows = self.spark.read.schema(self.schema).parquet(*paths).select(
-            "*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).cast("bigint").alias("_batch")
-        )
+        rows = reduce(DataFrame.unionByName, parts)
         if wanted is not None:
             rows = rows.join(wanted, self.keys, "left_semi")
-        values = [c for c in rows.columns if c not in self.keys and c != "_batch"]
-        latest = rows.groupBy(*self.keys).agg(*[F.max_by(c, "_batch").alias(c) for c in values])
+        values = [c for c in rows.columns if c not in self.keys and c not in ("number", "bucket")]
+        latest = rows.groupBy(*self.keys).agg(*[F.max_by(c, "number").alias(c) for c in values])
         return latest.select(*self.spark.createDataFrame([], self.schema).columns)
 
+    def _read(self, kind: str, numbers: list[int], buckets: list[int] | None) -> DataFrame:
+        reader = self.spark.read.schema(f"{self.schema}, number BIGINT, bucket INT").option("basePath", f"{self.folder}/{kind}")
+        rows = reader.parquet(*[f"{self.folder}/{kind}/number={n}" for n in numbers])
+        return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
+
     def write(self, batch_id: int, changes: DataFrame) -> None:
-        changes.write.mode("overwrite").parquet(f"{self.folder}/changes/{batch_id}")
+        self._put(f"{self.folder}/changes/number={batch_id}", changes)
         if (batch_id + 1) % self.whole_every == 0:
             # Never from this batch's own copy, which an earlier try may have left.
-            self._state(batch_id + 1, batch_id).write.mode("overwrite").parquet(f"{self.folder}/whole/{batch_id}")
+            self._put(f"{self.folder}/whole/number={batch_id}", self._state(batch_id + 1, batch_id))
+            self._forget()
+
+    def _put(self, path: str, rows: DataFrame) -> None:
+        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+    def _forget(self) -> None:
+        whole = _numbers(self.spark, f"{self.folder}/whole")
+        if len(whole) > 2:
+            kept = whole[-2]
+            for kind, numbers in (("whole", whole), ("changes", _numbers(self.spark, f"{self.folder}/changes"))):
+                for n in numbers:
+                    if n < kept or n == kept and kind == "changes":
+                        _remove(self.spark, f"{self.folder}/{kind}/number={n}")
 
 
 @dataclass
@@ -137,11 +166,26 @@ class LogStream:
             lambda: self.logs.write(batch_id, self._log_changes(lines, events, logs, baselines)),
             lambda: self.actors.write(batch_id, self._actor_changes(located)),
         ])
+        if (batch_id + 1) % self.whole_every == 0:
+            self._fold_counters(batch_id)
         _write_text(self.spark, f"{self.folder}/committed", str(batch_id))
         if self.on_findings is not None:
             self.on_findings(stored, batch_id)
         space.release()
 
+    def _fold_counters(self, batch_id: int) -> None:
+        """The counters of all batches so far in one table, so that a report reads few; the parts of older folds go."""
+        folded = f"{self.folder}/counters_whole"
+        parts = _counter_parts(self.spark, self.folder, batch_id, before=batch_id)
+        _merged_counters(parts).withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{folded}/number={batch_id}")
+        whole = _numbers(self.spark, folded)
+        if len(whole) > 2:
+            for n in whole[:-2]:
+                _remove(self.spark, f"{folded}/number={n}")
+            for n in _numbers(self.spark, f"{self.folder}/counters"):
+                if n <= whole[-2]:
+                    _remove(self.spark, f"{self.folder}/counters/batch_id={n}")
+
     def _store(self, kind: str, rows: DataFrame, batch_id: int) -> DataFrame:
         path = f"{self.folder}/{kind}/batch_id={batch_id}"
         rows.write.mode("overwrite").parquet(path)
@@ -265,25 +309,46 @@ class StreamFindings(Findings):
 
     @cached_property
     def counters(self) -> DataFrame:
-        parts = self._table("counters", f"{COUNTERS}, batch_id BIGINT" if self.last_batch < 0 else COUNTERS)
-        summed = (
-            "malformed_count", "pii_leaks", "max_gap_violations", "causality_count", "total_gaps", "low_count",
-            "medium_count", "high_count", "forgery_count",
-        )
-        with_start = F.when(F.col("file_start").isNotNull(), F.col("batch_id"))
-        merged = parts.groupBy("source").agg(
-            F.max("total_lines").alias("total_lines"),
-            *[F.sum(c).alias(c) for c in summed],
-            F.min_by("file_start", with_start).alias("file_start"),
-            F.max_by("file_end", with_start).alias("file_end"),
-        )
-        return scoring.combine(merged)
+        if self.last_batch < 0:
+            return scoring.combine(_merged_counters(self.spark.createDataFrame([], f"{COUNTERS}, batch_id BIGINT")))
+        return scoring.combine(_merged_counters(_counter_parts(self.spark, self.folder, self.last_batch, self.last_batch + 1)))
+
+
+def _counter_parts(spark: SparkSession, folder: str, last: int, before: int) -> DataFrame:
+    """Counters of the batches up to ``last``, those that a fold older than ``before`` holds as one."""
+    base = max((n for n in _numbers(spark, f"{folder}/counters_whole") if n < before), default=-1)
+    schema = f"{COUNTERS}, batch_id BIGINT"
+    later = [n for n in _numbers(spark, f"{folder}/counters") if base < n <= last]
+    parts = spark.createDataFrame([], schema)
+    if base >= 0:
+        parts = parts.unionByName(spark.read.schema(schema).parquet(f"{folder}/counters_whole/number={base}"))
+    if later:
+        found = spark.read.schema(schema).option("basePath", f"{folder}/counters")
+        parts = parts.unionByName(found.parquet(*[f"{folder}/counters/batch_id={n}" for n in later]))
+    return parts
+
+
+def _merged_counters(parts: DataFrame) -> DataFrame:
+    summed = (
+        "malformed_count", "pii_leaks", "max_gap_violations", "causality_count", "total_gaps", "low_count",
+        "medium_count", "high_count", "forgery_count",
+    )
+    with_start = F.when(F.col("file_start").isNotNull(), F.col("batch_id"))
+    return parts.groupBy("source").agg(
+        F.max("total_lines").alias("total_lines"),
+        *[F.sum(c).alias(c) for c in summed],
+        F.min_by("file_start", with_start).alias("file_start"),
+        F.max_by("file_end", with_start).alias("file_end"),
+    )
 
 
 def findings_so_far(
     spark: SparkSession, folder: str, settings: Settings | None = None, scan_pii: bool = False
 ) -> StreamFindings:
-    """The report, scores and tables of what a stream has stored until now."""
+    """The report, scores and tables of what a stream has stored until now.
+
+    Take it anew to see later batches: its tables are read when used, and old parts are removed as the stream goes on.
+    """
     return StreamFindings(spark, folder, settings or Settings(), scan_pii)
 
 
@@ -293,13 +358,18 @@ def live_alerts(lines: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _numbers(spark: SparkSession, folder: str) -> list[int]:
-    """The complete numbered tables in a folder."""
+    """The complete numbered tables in a folder; their names end with a number after ``=``."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(path):
         return []
     done = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/_SUCCESS"))
-    return sorted(int(status.getPath().getParent().getName()) for status in done)
+    return sorted(int(status.getPath().getParent().getName().rsplit("=", 1)[-1]) for status in done)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _write_text(spark: SparkSession, name: str, text: str) -> None:
