@@ -175,7 +175,7 @@ def analyze(
             forms += [normalized(by_line, False)] if by_line or not whole else []
             return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), forms)
         if as_documents:
-            return parse(files.unpack_records(files.raw_documents(spark, data)), chosen)
+            return parse(files.document_records(spark, data, space), chosen)
         return files.read_normalized(spark, data, chosen, space, parse)
 
     lines = _complete(normalized(logs, documents))

@@ -121,6 +121,11 @@ def opened(source: str):
     return fs.FileSystem.from_uri(source)
 
 
+def size_of(source: str) -> int:
+    system, name = opened(source)
+    return system.get_file_info(name).size or 0
+
+
 def listed(path: str) -> dict[str, int]:
     """Address and size of each file; names that begin with ``_`` or ``.`` are passed over, as Spark does."""
     from pyarrow import fs

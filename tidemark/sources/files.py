@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.settings import Settings
-from tidemark.sources import normalize
+from tidemark.sources import documents, normalize
 from tidemark.workspace import Workspace
 
 # Above this size, names of files included, the table of line offsets is no longer sent to every executor.
@@ -153,6 +154,21 @@ def unpack_records(documents: DataFrame, strict: bool = False) -> DataFrame:
     return lines.unionByName(failed)
 
 
+def document_records(spark: SparkSession, paths: str | list[str], workspace: Workspace) -> DataFrame:
+    """``(source, line_number, line)``: the records of JSON documents of any size, as ``unpack_records`` gives them.
+
+    Files that tasks can read by ranges and that are a list of objects, alone or under ``Records``, are cut by many tasks; any
+    other, broken ones among them, is taken as one text.
+    """
+    names = [row["source"] for row in file_names(spark, paths).toLocalIterator()]
+    addressed = {re.sub("^file:/+", "file:///", name): name for name in names}
+    ranged = [a for a in addressed if a.split(":", 1)[0] in documents.SCHEMES]
+    found, odd = documents.cut(spark, ranged, workspace) if ranged else (None, [])
+    rest = [unquote(a) for a in [*odd, *(a for a in addressed if a not in set(ranged))]]
+    parts = ([found] if found is not None else []) + ([unpack_records(raw_documents(spark, rest))] if rest else [])
+    return reduce(DataFrame.unionByName, parts) if parts else unpack_records(raw_documents(spark, paths))
+
+
 def _python_spelling():
     def rewrite(lines):
         import json
