@@ -164,6 +164,9 @@ def document_records(spark: SparkSession, paths: str | list[str], workspace: Wor
     addressed = {re.sub("^file:/+", "file:///", name): name for name in names}
     ranged = [a for a in addressed if a.split(":", 1)[0] in documents.SCHEMES]
     found, odd = documents.cut(spark, ranged, workspace) if ranged else (None, [])
+    if found is not None:
+        # Files are named as a scan names them.
+        found = found.withColumn("source", F.regexp_replace("source", "^file:///", "file:/"))
     rest = [unquote(a) for a in [*odd, *(a for a in addressed if a not in set(ranged))]]
     parts = ([found] if found is not None else []) + ([unpack_records(raw_documents(spark, rest))] if rest else [])
     return reduce(DataFrame.unionByName, parts) if parts else unpack_records(raw_documents(spark, paths))
