@@ -48,15 +48,19 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: lis
     return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+def hot_join(
+    left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str], counts: DataFrame, how: str = "inner", total: int | None = None
+) -> DataFrame:
     """As ``salted_join``, with copies only for the keys that hold more than a thousandth of the rows of ``left``.
 
     ``counts`` has ``on`` and ``n``, rows of ``left`` by key. There are fewer than a thousand such keys whatever the data,
-    so the list of them is broadcast; all other keys are joined as they are.
+    so the list of them is broadcast; all other keys are joined as they are. ``total`` is the number of rows of ``left`` or more,
+    where it is known.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    known = total is not None
+    total = total if known else counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.filter(F.col("n") > max(total // 1000, 1000)).select(*on, F.lit(True).alias("_hot"))
-    if hot.isEmpty():
+    if not known and hot.isEmpty():
         return left.join(right, on, how)
     hot = F.broadcast(hot)
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(SALTS)).cast("int")).otherwise(0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import salted_join
+from tidemark.llm.common import hot_join
 from tidemark.workspace import Workspace
 
 
@@ -19,7 +19,7 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
     stars = space.keep(_oriented(edges).distinct(), "edges")
     seen = _mark(stars)
     while True:
-        stars = space.keep(_small_star(_large_star(stars)), "stars")
+        stars = space.keep(_small_star(_large_star(stars, 2 * seen[0]), 2 * seen[0]), "stars")
         mark = _mark(stars)
         if mark == seen:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -36,15 +36,15 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.hash("b", "a"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    linked = salted_join(both, least, ["a"], ["b"]).filter("b > a")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    linked = hot_join(both, least.select("a", F.least("a", "m").alias("m")), ["a"], ["b"], least.select("a", "n"), total=total).filter("b > a")
     return _oriented(linked.select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    linked = salted_join(edges, least, ["a"], ["b"])
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    linked = hot_join(edges, least.select("a", "m"), ["a"], ["b"], least.select("a", "n"), total=total)
     down = linked.select("a", F.col("m").alias("b")).unionByName(linked.select(F.col("b").alias("a"), F.col("m").alias("b")))
     return _oriented(down).distinct()
