@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import Row
+from pyspark.sql import Row, functions as F
 
 from tidemark.llm import simhash
 from tidemark.llm.components import components
@@ -135,3 +135,64 @@ def test_similar_documents(spark):
     assert kept == set(label)
     assert simhash.representatives(docs.limit(0), space, 5, 6, 0.8).count() == 0
     space.release()
+
+
+def test_alike_sets():
+    """Against one pair at a time, with more columns than one block holds and with empty sets."""
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 63, 6000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (1, 5, 3000, 6000, 9000, 9000)] + [np.zeros(0, np.uint64)] * 2
+    sets += [s[: max(1, len(s) * 9 // 10)] for s in sets[:6]]
+    for least in (0.1, 0.8):
+        found = simhash.alike_sets(sets[:9], sets[4:], least)
+        assert found.tolist() == [[simhash.jaccard(a, b) >= least for b in sets[4:]] for a in sets[:9]]
+
+
+def test_band_hashes():
+    """Pairs at 0.8 share a band nearly always, unlike ones hardly ever; a set's order and blocks do not matter."""
+    rng = np.random.default_rng(6)
+    shared = {0.8: 0, 0.3: 0}
+    for least in shared:
+        for _ in range(200):
+            hashes = rng.integers(0, 1 << 63, 1800).astype(np.uint64)
+            both = int(1800 * least)
+            middle = both + (1800 - both) // 2
+            one, other = hashes[:middle], np.concatenate((hashes[:both], hashes[middle:]))
+            shared[least] += bool(set(simhash.band_hashes(one)) & set(simhash.band_hashes(other)))
+    assert shared[0.8] >= 185 and shared[0.3] <= 10
+    assert simhash.band_hashes(hashes) == simhash.band_hashes(hashes[::-1]) and len(simhash.band_hashes(hashes)) == simhash.BANDS
+    assert simhash.band_hashes(hashes[:0]) == []
+
+
+@pytest.mark.parametrize("chunk", [4, 512])
+def test_similar_documents_whatever_their_fingerprints(spark, monkeypatch, chunk):
+    """All pairs of 0.8 and more are linked, also those whose fingerprints differ in many bits, and no others."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = np.random.default_rng(9)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    base, texts = words(300), []
+    texts += [" ".join(base[:270] + words(45)) for _ in range(60)]  # pairwise about 0.73
+    texts += [" ".join(base[:290] + words(12)) for _ in range(20)]  # about 0.9
+    for _ in range(40):
+        near = words(200)
+        texts += [" ".join(near), " ".join(near[:-8] + words(8)), " ".join(near[9:] + words(9))]  # 0.92, 0.91, 0.84
+    texts += ["", None, " \n", "one", "ONE", "a b c d", texts[3]]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    label = list(range(len(texts)))
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if simhash.jaccard(sets[i], sets[j]) >= 0.8 and label[i] != label[j]:
+                far += bin(plain_fingerprint(texts[i], 5) ^ plain_fingerprint(texts[j], 5)).count("1") > 3
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert far > 20
+    space = Workspace(spark)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, band string").repartition(5)
+    found = {r.doc_id: r.component_id for r in simhash.all_similar_documents(docs, space, 5, 3, 0.8).collect()}
+    assert [found[i] for i in range(len(texts))] == label
+    odd = docs.filter("doc_id < 5").withColumn("doc_id", F.lit(None).cast("bigint")).unionByName(docs.filter("doc_id = 7")).unionByName(docs.filter("doc_id = 7"))
+    kept = simhash.representatives(odd, space, 5, 3, 0.8, bands=True)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["7"] + ["None"] * 5
+    assert simhash.all_similar_documents(docs.limit(0), space, 5, 3, 0.8).count() == 0
+    space.release()
