@@ -34,8 +34,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, up to six differing bits, similarity 0.8 verified."""
-    return simhash.representatives(docs, Workspace(spark), width=5, limit=6, least=0.8)
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 verified, found by fingerprints and bands."""
+    return simhash.representatives(docs, Workspace(spark), width=5, limit=3, least=0.8, bands=True)
 
 
 def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
