@@ -104,3 +104,13 @@ def test_fewer_directions_than_components(spark, tmp_path):
     rows = [(i, [float(i), 2.0 * i, 0.0]) for i in range(6)] + [(None, [1.0, 2.0, 0.0])] * 2
     made = whitening.whiten(spark.createDataFrame(rows, "vec_id bigint, v array<float>"), "v", Workspace(spark, str(tmp_path))).collect()
     assert len(made) == 8 and {r["component"] for r in made} == {1} and made[0]["n"] == 6
+
+
+def test_eigenvalue_at_rounding_level_on_the_interval_end():
+    # All eigenpairs wanted, the smallest a rounding-level one just above 0: it was counted inside but not found.
+    v = np.array([[1.0, -5.55043733e-17], [-5.55043733e-17, 1.23274563e-32]])
+    values, vectors = whitening.leading(v, 2)
+    assert values == pytest.approx([1.0, 0.0], abs=1e-15)
+    assert np.abs(vectors.T @ vectors - np.eye(2)).max() < 1e-12
+    values, _ = whitening.leading(np.diag([3.0, 2.0, 1e-30, 0.0, 0.0]), 4)
+    assert values == pytest.approx([3.0, 2.0, 0.0, 0.0], abs=1e-12)

@@ -80,7 +80,12 @@ def isolated(v: np.ndarray, k: int) -> tuple[float, float, int]:
             beyond = middle
         if inside == k and _distinct(v, low, k) or beyond - low < 1e-9 * high:
             break
-    return low, high, inside
+    # An eigenvalue within rounding of the lower end, above or below it (as a zero one of a flat covariance at 0), is
+    # neither in nor out for the filter: the end moves down past it, taking it in. Each step passes one at least.
+    margin = 1e-9 * high
+    while low > -high and above(v, low - margin) != above(v, low + margin):
+        low = max(low - 2 * margin, -high)
+    return low, high, above(v, low)
 
 
 def _distinct(v: np.ndarray, low: float, k: int) -> bool:
