@@ -33,6 +33,9 @@ FLOOR = 3.0
 FORGERIES = "source STRING, line_number BIGINT, ts STRING, entropy DOUBLE, baseline DOUBLE, raw_text STRING"
 # Blocks whose maps are composed in one task, and branches that a block's and a group's map keep.
 GROUP = 512
+#: Groups composed or walked in one task at most: their work is in Python and far larger than their bytes, by which
+#: shuffles would otherwise be coalesced into a few tasks that hold all groups.
+GROUPS_PER_TASK = 4
 BRANCHES, GROUP_BRANCHES = 64, 4096
 # How far around the estimate a map reaches: a share of it and a constant.
 REACH, AROUND = 0.25, 0.25
@@ -249,18 +252,19 @@ def _states(maps: DataFrame, guesses: DataFrame | None, workspace: Workspace) ->
         first = first.join(later, ["source", BLOCK], "left").withColumn("r_in", F.coalesce("_later", "r_in"))
     # A table of its own: it meets the maps that it was made from.
     starts = workspace.keep(first.drop(BLOCK), "starts")
+    tasks = max(1, -(-starts.count() // GROUPS_PER_TASK))
     several = starts.groupBy("source").agg(F.count("*").alias("groups")).filter("groups > 1")
     if several.isEmpty():
-        return workspace.keep(_walked(maps, starts), "states"), None
-    chained = maps.join(several.select("source"), "source", "left_semi")
-    begun = starts.join(several.select("source"), "source", "left_semi")
+        return workspace.keep(_walked(maps, starts, tasks), "states"), None
+    chained = maps.join(several.select("source"), "source", "left_semi").repartition(tasks, *group)
+    begun = starts.join(several.select("source"), "source", "left_semi").repartition(tasks, *group)
     composed = chained.groupBy(*group).cogroup(begun.groupBy(*group)).applyInArrow(_compose_group(), f"{MAPS}, leads DOUBLE")
     groups = workspace.keep(
         composed.groupBy("source").applyInArrow(_chain_groups(), "source STRING, _group BIGINT, r_in DOUBLE, known BOOLEAN"), "groups"
     )
     true = groups.select(*group, F.col("r_in").alias("_true"))
     starts = starts.join(true, group, "left").select(*group, F.coalesce("_true", "r_in").alias("r_in"))
-    return workspace.keep(_walked(maps, starts), "states"), groups
+    return workspace.keep(_walked(maps, starts, tasks), "states"), groups
 
 
 def _in_order(table):
@@ -311,8 +315,8 @@ def _chain_groups():
     return chain
 
 
-def _walked(maps: DataFrame, starts: DataFrame) -> DataFrame:
-    """Read each group's first baseline through the maps of its blocks."""
+def _walked(maps: DataFrame, starts: DataFrame, tasks: int) -> DataFrame:
+    """Read each group's first baseline through the maps of its blocks, the groups dealt over ``tasks`` tasks."""
     def walk(table, start):
         import pyarrow as pa
 
@@ -331,7 +335,9 @@ def _walked(maps: DataFrame, starts: DataFrame) -> DataFrame:
             out = out.append_column(name, pa.array(values, kind))
         return out
 
-    return maps.groupBy("source", "_group").cogroup(starts.groupBy("source", "_group")).applyInArrow(walk, STATES)
+    group = ["source", "_group"]
+    spread_maps, spread_starts = maps.repartition(tasks, *group), starts.repartition(tasks, *group)
+    return spread_maps.groupBy(*group).cogroup(spread_starts.groupBy(*group)).applyInArrow(walk, STATES)
 
 
 def _forgeries(rows: DataFrame, states: DataFrame) -> DataFrame:
