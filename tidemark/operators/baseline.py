@@ -33,9 +33,9 @@ FLOOR = 3.0
 FORGERIES = "source STRING, line_number BIGINT, ts STRING, entropy DOUBLE, baseline DOUBLE, raw_text STRING"
 # Blocks whose maps are composed in one task, and branches that a block's and a group's map keep.
 GROUP = 512
-#: Groups composed or walked in one task at most: their work is in Python and far larger than their bytes, by which
+#: Groups composed or walked in one task, on average: their work is in Python and far larger than their bytes, by which
 #: shuffles would otherwise be coalesced into a few tasks that hold all groups.
-GROUPS_PER_TASK = 4
+GROUPS_PER_TASK = 1
 BRANCHES, GROUP_BRANCHES = 64, 4096
 # How far around the estimate a map reaches: a share of it and a constant.
 REACH, AROUND = 0.25, 0.25
