@@ -196,3 +196,37 @@ def test_similar_documents_whatever_their_fingerprints(spark, monkeypatch, chunk
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["7"] + ["None"] * 5
     assert simhash.all_similar_documents(docs.limit(0), space, 5, 3, 0.8).count() == 0
     space.release()
+
+
+def test_last_components_start_from_stars(spark, monkeypatch):
+    """The last search for components is given the stars of the verified pairs, not the pairs again; classes as before."""
+    calls = []
+
+    def recorded(edges, space):
+        found = components(edges, space)
+        calls.append((edges.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(simhash, "components", recorded)
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    base, texts = words(300), []
+    texts += [" ".join(base[:290] + words(12)) for _ in range(20)]  # pairwise about 0.9
+    for _ in range(10):
+        near = words(200)
+        texts += [" ".join(near), " ".join(near[:-8] + words(8)), " ".join(near[9:] + words(9))]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if simhash.jaccard(sets[i], sets[j]) >= 0.8 and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    space = Workspace(spark)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in simhash.all_similar_documents(docs, space, 5, 3, 0.8).collect()}
+    assert [found[i] for i in range(len(texts))] == label
+    (_, stars), (last, _) = calls[-2], calls[-1]
+    # No links beyond the stars join parts here, so the last search gets exactly the stars.
+    assert last == stars == len(texts) - len(set(label))
+    space.release()

@@ -355,7 +355,9 @@ def all_similar_documents(docs: DataFrame, space: Workspace, width: int, limit:
     joined = space.keep(_verified(pairs, sets, least), "joined")
     first = space.keep(components(joined, space), "first")
     more = _across(grouped.join(first.withColumnRenamed("node", "key"), "key", "left"), sets, least, space)
-    alike = components(joined.unionByName(more), space).withColumnRenamed("node", "key")
+    # The stars of the verified pairs join what those pairs join, with the same smallest node: fewer rounds than the pairs.
+    stars = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    alike = components(stars.unionByName(more), space).withColumnRenamed("node", "key")
     named = texts.join(alike, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = space.keep(named, "named")
     names = space.keep(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "names")
