@@ -118,7 +118,7 @@ def test_block_in_each_number_type(high):
         queries = rng.integers(-high, high, (30, 3))
         block = knn._Block(3, k)
         for at in range(0, 30, 10):
-            block.add(np.arange(at, at + 10), queries[at : at + 10], np.full(10, knn.LEAST), [0, 1] if at else [0])
+            block.add(np.arange(at, at + 10), queries[at : at + 10], np.full(10, knn.LEAST), np.packbits([True, at > 0]).tobytes())
         data, knn_few = [], knn.FEW
         knn.FEW = few
         for pivot in (0, 0, 1):

@@ -41,7 +41,7 @@ BLOCK_VALUES = 1 << 23
 DATA_BLOCK = 262_144
 #: Products of one meeting aimed at; more where that would give more than so many meetings.
 PRODUCTS = 1 << 28
-MEETINGS = 512
+MEETINGS = 96
 #: Most tasks that meetings are dealt over.
 MOST_TASKS = 4_096
 #: Queries and vectors whose products are made at once, and candidates a query of these that are taken as they are.
@@ -106,9 +106,12 @@ class Bounds:
         # An id counts once.
         if len(np.unique(self.ids)) < len(self.ids) or len(self.ids) <= k:
             return np.full(len(rows), LEAST)
-        scores = _products(rows, self.sample)
-        scores[ids[:, None] == self.ids[None, :]] = LEAST
-        return np.partition(scores, -k, axis=1)[:, -k]
+        reached = np.zeros(len(rows), np.int64)
+        for at in range(0, len(rows), TILE):
+            scores = _products(rows[at : at + TILE], self.sample)
+            scores[ids[at : at + TILE, None] == self.ids[None, :]] = LEAST
+            reached[at : at + TILE] = np.partition(scores, -k, axis=1)[:, -k]
+        return reached
 
     def above(self, rows: np.ndarray, reached: np.ndarray) -> np.ndarray:
         """For each query and pivot: whether a vector of the pivot's group may score ``reached``."""
@@ -153,17 +156,17 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, space: Workspace) -> Data
         F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("needs"))).alias("needs")
     ).collect()
     plan = _Plan(groups, askers)
-    given = data_chunks.drop("needs", "radius").join(F.broadcast(plan.given(spark)), ["dim", "pivot"])
+    given = data_chunks.drop("radius", "needs", "mask").join(F.broadcast(plan.given(spark)), ["dim", "pivot"])
     given = given.select(
         "dim", _one("first", "parts").alias("part"), F.explode("blocks").alias("block"), F.lit(1).alias("side"), "pivot", "n", "ids",
-        "vectors", "width", F.lit(None).cast("binary").alias("floors"), F.lit(None).cast("array<int>").alias("needs"),
+        "vectors", "width", F.lit(None).cast("binary").alias("floors"), F.lit(None).cast("binary").alias("mask"),
     )
     held = query_chunks.drop("radius").join(F.broadcast(plan.held(spark)), ["dim", "pivot"])
     held = held.join(F.broadcast(plan.parts(spark)), "dim")
     parts = F.flatten(F.transform("needs", lambda p: F.sequence(F.get("firsts", p), F.get("lasts", p))))
     held = held.select(
         "dim", F.explode(F.array_distinct(parts)).alias("part"), _one("first", "blocks").alias("block"), F.lit(0).alias("side"), "pivot",
-        "n", "ids", "vectors", "width", "floors", "needs",
+        "n", "ids", "vectors", "width", "floors", "mask",
     )
     meeting = ["dim", "part", "block"]
     met = given.unionByName(held).repartition(plan.tasks, *meeting).sortWithinPartitions(*meeting, "side", "pivot")
@@ -182,7 +185,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, space: Workspace) -> Data
                 if of["side"][i].as_py():
                     block.meet(of["pivot"][i].as_py(), ids, vectors)
                 else:
-                    block.add(ids, vectors, np.frombuffer(of["floors"][i].as_py(), np.int64), of["needs"][i].as_py())
+                    block.add(ids, vectors, np.frombuffer(of["floors"][i].as_py(), np.int64), of["mask"][i].as_py())
         if block is not None:
             yield from block.found()
 
@@ -225,8 +228,8 @@ def _unpacked(of: dict, i: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def _chunks(rows: DataFrame, shipped, k: int | None = None) -> DataFrame:
     """Chunks of rows of one length and nearest ``pivot``: data with its largest distance, or, given ``k``, queries.
 
-    Chunks of queries have each query's score that ``k`` others reach and the pivots that any of them ``needs``. A task
-    packs its own rows, so no group is gathered in one place.
+    Chunks of queries have each query's score that ``k`` others reach and the pivots that any of them ``needs``, as a list
+    and as bits. A task packs its own rows, so no group is gathered in one place.
     """
     size = DATA_CHUNK if k is None else QUERY_CHUNK
 
@@ -249,10 +252,11 @@ def _chunks(rows: DataFrame, shipped, k: int | None = None) -> DataFrame:
                 ids, vectors, extra = (c[at : min(at + most, upto)] for c in columns)
                 row = {"dim": dim, "pivot": pivot, "chunk": made} | _packed(ids, vectors)
                 if k is None:
-                    row |= {"radius": float(extra.max()), "floors": None, "needs": None}
+                    row |= {"radius": float(extra.max())}
                 else:
-                    needs = np.nonzero(shipped.value[dim].above(vectors, extra).any(axis=0))[0]
-                    row |= {"radius": None, "floors": extra[np.argsort(ids, kind="stable")].tobytes(), "needs": needs.tolist()}
+                    needed = shipped.value[dim].above(vectors, extra).any(axis=0)
+                    row |= {"floors": extra[np.argsort(ids, kind="stable")].tobytes(), "mask": np.packbits(needed).tobytes()}
+                    row |= {"needs": np.nonzero(needed)[0].tolist()}
                 made += 1
                 yield pa.RecordBatch.from_pylist([row], CHUNK)
 
@@ -281,14 +285,15 @@ def _chunks(rows: DataFrame, shipped, k: int | None = None) -> DataFrame:
             yield from packed(*key, whole=True)
 
     return rows.mapInArrow(
-        run, "dim int, pivot int, chunk bigint, n bigint, ids binary, vectors binary, width int, radius double, floors binary, needs array<int>"
+        run, "dim int, pivot int, chunk bigint, n bigint, ids binary, vectors binary, width int, radius double, floors binary, mask binary, "
+        "needs array<int>",
     )
 
 
 INT, LONG = pa.int32(), pa.int64()
 CHUNK = pa.schema([
     ("dim", INT), ("pivot", INT), ("chunk", LONG), ("n", LONG), ("ids", pa.binary()), ("vectors", pa.binary()), ("width", INT),
-    ("radius", pa.float64()), ("floors", pa.binary()), ("needs", pa.list_(INT)),
+    ("radius", pa.float64()), ("floors", pa.binary()), ("mask", pa.binary()), ("needs", pa.list_(INT)),
 ])
 
 
@@ -359,8 +364,9 @@ class _Block:
     def __init__(self, dim: int, k: int):
         self.dim, self.k, self.added, self.rows = dim, k, [], None
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray, floors: np.ndarray, needs: list[int]) -> None:
-        self.added.append((ids, vectors, floors, needs))
+    def add(self, ids: np.ndarray, vectors: np.ndarray, floors: np.ndarray, mask: bytes) -> None:
+        """Hold a chunk of queries; ``mask`` has a bit for each pivot."""
+        self.added.append((ids, vectors, floors, np.unpackbits(np.frombuffer(mask, np.uint8)).astype(bool)))
 
     def _settle(self) -> None:
         self.ids = np.concatenate([a[0] for a in self.added])
@@ -370,36 +376,49 @@ class _Block:
         # The score and id to be beaten: of the k-th best so far, or of no known id what the sample reaches.
         self.least = np.concatenate([a[2] for a in self.added])
         self.last = np.full(len(self.ids), MOST)
-        self.lengths, self.needs = [len(a[0]) for a in self.added], [frozenset(a[3]) for a in self.added]
+        self.lengths, self.needs = [len(a[0]) for a in self.added], np.stack([a[3] for a in self.added])
         self.best = tuple(np.zeros(0, np.int64) for _ in range(3))
         self.new: list[tuple] = []
-        self.n_new, self.added, self.chosen = 0, [], (None, None)
-
-    def _choose(self, pivot: int) -> np.ndarray | None:
-        """Places of the queries that need the pivot's group; None for all."""
-        if self.chosen[0] != pivot:
-            need = np.array([pivot in n for n in self.needs])
-            self.chosen = (pivot, None if need.all() else np.nonzero(np.repeat(need, self.lengths))[0])
-        return self.chosen[1]
+        self.n_new, self.added = 0, []
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_waiting, self.of = 0, None
 
     def meet(self, pivot: int, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """Take the candidates of a chunk, whose ids are in order."""
+        """Take the candidates of a chunk of a pivot's data."""
         if self.rows is None:
             if not self.added:
                 return
             self._settle()
+        need = self.needs[:, pivot]
+        if self.waiting and not np.array_equal(need, self.of):
+            self._meet()
+        self.of = need
+        self.waiting.append((ids, vectors))
+        self.n_waiting += len(ids)
+        if self.n_waiting >= DATA_CHUNK or self.n_waiting * self.dim >= CHUNK_VALUES:
+            self._meet()
+
+    def _meet(self) -> None:
+        """Candidates of the chunks that wait, which the same queries need."""
+        if not self.waiting:
+            return
+        ids, vectors = (np.concatenate(c) for c in zip(*self.waiting))
+        self.waiting, self.n_waiting = [], 0
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
         kind = _exact(self.high * _largest(vectors) * max(1, self.dim))
         if kind not in self.typed:
             self.typed[kind] = self.rows.astype(kind)
         vectors = np.ascontiguousarray(vectors.astype(kind).T)
         unique = bool((ids[1:] != ids[:-1]).all())
-        chosen = self._choose(pivot)
+        # The places of the queries, unless all need the group.
+        chosen = None if self.of.all() else np.nonzero(np.repeat(self.of, self.lengths))[0]
         n = len(self.ids) if chosen is None else len(chosen)
         for at in range(0, n, TILE):
             places = np.arange(at, min(at + TILE, n)) if chosen is None else chosen[at : at + TILE]
             rows = self.typed[kind][at : at + TILE] if chosen is None else self.typed[kind][places]
             self._take(places, rows @ vectors, ids, unique)
-            if self.n_new > max(len(self.ids), 1 << 16):
+            if self.n_new > max(self.k * len(self.ids), 1 << 16):
                 self._reduce()
 
     def _take(self, places: np.ndarray, scores: np.ndarray, ids: np.ndarray, unique: bool) -> None:
@@ -455,6 +474,7 @@ class _Block:
     def found(self) -> Iterator[pa.RecordBatch]:
         if self.rows is None:
             return
+        self._meet()
         self._reduce()
         place, ids, scores = self.best
         yield pa.RecordBatch.from_arrays(
